@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelweave.llm import mixing
-from pixelweave.llm.common import ship_by_value, table
+from pixelweave.llm import mixing, packing, tokenbin
+from pixelweave.llm.common import shared_dir, ship_by_value, table
 
 ship_by_value()
 
@@ -18,8 +19,18 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/pixelweave/tokens-{uuid.uuid4().hex}"
+    tokenbin.write_token_files(table(spark, sf_dir, "documents"), path)
+    return tokenbin.read_token_files(spark, path)
+
+
+def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_mix_sources": op1_mix_sources}
+    return {f.__name__: f for f in (op1_mix_sources, op3_token_files, op4_pack_sequences)}
 
 
 def oracle_sql() -> dict[str, str]:
