@@ -6,9 +6,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pixelweave.llm import mixing, packing, tokenbin
-from pixelweave.llm.common import shared_dir, ship_by_value, table
+from pixelweave.llm import mixing, packing, quality, tokenbin, toxicity
+from pixelweave.llm.common import id_crc, shared_dir, ship_by_value, table
 
 ship_by_value()
 
@@ -29,8 +30,18 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity.learnable())
+    return scored.select("doc_id", (id_crc("doc_id") % 5 == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.learnable())
+    return scored.select("doc_id", (id_crc("doc_id") % 3 == 1).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_token_files, op4_pack_sequences)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_token_files, op4_pack_sequences, op8_toxicity, op10_quality_ranking)}
 
 
 def oracle_sql() -> dict[str, str]:
