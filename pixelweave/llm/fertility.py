@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pixelweave.llm.common import small_batches, worker_cache, written
-from pixelweave.llm.tokens import tokenizer, vocabulary_path
+from pixelweave.llm.tokens import byte_spelling, tokenizer, vocabulary_path
 
 PIECES = "piece_bpe_32k.model"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -97,8 +97,7 @@ class Vocabularies:
 
         self.tok = tokenizer(bytes_path)
         self.fragment = np.zeros(self.tok.size, bool)
-        letters = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves
-        spelt = {chr(b): b for b in letters} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in letters)}
+        spelt = {chr(b): b for b in range(256)} | {c: b for b, c in byte_spelling().items()}
         for token, k in self.tok.tok.get_vocab().items():
             try:
                 bytes(spelt[c] for c in token).decode("utf-8")

@@ -2,8 +2,7 @@
 
 Byte-level vocabularies split a text before merging, and every white-space run starts a new part. A text in which no
 white space stands before a space is therefore the concatenation of its space-led pieces, each of which always gets
-the same ids. Pieces not seen before are encoded by the library together, in one string; all other texts go to the
-library whole. The ids are the library's in either case.
+the same ids; a piece not seen before is given to the library, and all other texts go to it whole.
 """
 
 from __future__ import annotations
@@ -11,13 +10,15 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 from pixelweave.llm.common import worker_cache
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces remembered by a worker process, and their longest length in characters; neither changes any result.
+#: Pieces of one generation that a worker process remembers (there are two), and their longest length in characters;
+#: neither changes any result.
 REMEMBERED, LONGEST = 300_000, 64
 
 
@@ -27,6 +28,41 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+STOPS = ".,:;!?"
+
+
+def byte_spelling() -> dict[int, str]:
+    """Bytes to the letters that byte-level vocabularies write for them: themselves if visible, else from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class Pieces(dict):
+    """Piece -> ids of the piece with a space before it. What is not asked for in a generation is forgotten."""
+
+    def __init__(self, owner: PieceTokenizer):
+        super().__init__()
+        self.owner, self.older = owner, {}
+        self.merge, self.kind = owner.tok.model.tokenize, owner.dtype.char
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            if piece.isalpha() and piece.isascii():
+                ids = array(self.kind, [t.id for t in self.merge("Ġ" + piece)]).tobytes()
+            else:
+                ids = self.owner.piece(piece)
+        if len(piece) <= LONGEST:
+            self[piece] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+
+
 class PieceTokenizer:
     """encode(texts) -> for each text its ids, as little-endian unsigned integers of `dtype`."""
 
@@ -36,61 +72,56 @@ class PieceTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merge = self.tok.model.tokenize
         self.size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             known = json.load(f)
         pre = known.get("pre_tokenizer") or {}
         self.splits = known.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.leads = np.zeros(self.size, bool)
-        for token, k in self.tok.get_vocab().items():
-            self.leads[k] = token.startswith("Ġ")
+        self.spelling = byte_spelling()
         self.unsafe = re.compile(r"\s ")
-        self.known: dict[str, bytes] = {}
+        self.parts = re.compile(r" ?[^\W\d_]+| ?[.,:;!?]+|\n")
+        self.known = Pieces(self)
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Remember the ids of each piece with a space before it."""
-        joined = [p for p in pieces if p and not p[-1].isspace()]
-        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(joined)], add_special_tokens=False)[0].ids if joined else [], self.dtype)
-        starts = np.flatnonzero(self.leads[ids]) if len(ids) else []
-        if len(starts) == len(joined):
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            ends = [*(np.asarray(starts[1:]) * width).tolist(), len(raw)] if joined else []
-            self.known.update((p, raw[a:b]) for p, a, b in zip(joined, (np.asarray(starts) * width).tolist(), ends))
-        else:  # not expected of a byte-level vocabulary
-            self.known.update(zip(joined, self.direct([" " + p for p in joined])))
-        rest = [p for p in pieces if not p or p[-1].isspace()]
-        self.known.update(zip(rest, self.direct([" " + p for p in rest])))
+    def part(self, part: str) -> bytes:
+        """Ids of a text that the vocabulary's pattern leaves whole."""
+        spelt = part.encode("utf-8").decode("latin-1").translate(self.spelling)
+        return array(self.dtype.char, [t.id for t in self.merge(spelt)]).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a space and then the piece; the library's model is asked where the split is plain."""
+        if piece.isalpha():
+            return self.part(" " + piece)
+        if piece[-1:] in STOPS and piece[:-1].isalpha():
+            return self.known[piece[:-1]] + self.part(piece[-1])
+        parts = self.parts.findall(" " + piece)
+        if sum(map(len, parts)) == 1 + len(piece) and "\n\n\n" not in piece and all(x.lstrip(" ").isalpha() or x[-1] in STOPS + "\n" for x in parts) and not piece.endswith("\n\n"):
+            return b"".join(map(self.part, parts))
+        return self.direct([" " + piece])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        whole, split = [], []
+        whole, firsts, get = [], {}, self.known.__getitem__
         for k, t in enumerate(texts):
-            if t:
-                if not self.splits or self.unsafe.search(t):
-                    whole.append(k)
-                else:
-                    split.append((k, t.split(" ")))
-        if whole:
-            for k, ids in zip(whole, self.direct([texts[k] for k in whole])):
-                out[k] = ids
-        if split:
-            firsts = dict.fromkeys(p[0] for _, p in split if p[0])
-            firsts = dict(zip(firsts, self.direct(list(firsts))))
-            needed = set()
-            for _, p in split:
-                needed.update(p[1:])
-            if len(self.known) + len(needed) > REMEMBERED:
-                self.known.clear()
-            self.learn([p for p in needed if p not in self.known])
-            get = self.known.__getitem__
-            for k, p in split:
-                out[k] = firsts.get(p[0], b"") + b"".join(map(get, p[1:]))
-            for p in [p for p in needed if len(p) > LONGEST]:
-                del self.known[p]
+            if not t:
+                continue
+            if not self.splits or self.unsafe.search(t):
+                whole.append(k)
+                continue
+            first, *rest = t.split(" ")
+            out[k] = b"".join(map(get, rest))
+            firsts.setdefault(first, []).append(k)
+            self.known.age()
+        if firsts:
+            for ids, ks in zip(self.direct(list(firsts)), firsts.values()):
+                for k in ks:
+                    out[k] = ids + out[k]
+        for k, ids in zip(whole, self.direct([texts[k] for k in whole]) if whole else []):
+            out[k] = ids
         return out
 
 
