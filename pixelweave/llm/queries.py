@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm import fertility, langid, mixing, packing, quality, sanitise, tokenbin, toxicity
+from pixelweave.llm import embed_join, fertility, langid, mixing, ngram_join, packing, quality, sanitise, tokenbin, toxicity
 from pixelweave.llm.common import id_crc, shared_dir, ship_by_value, table
 
 ship_by_value()
@@ -43,18 +43,27 @@ def op6_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.report(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_join.join(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity.learnable())
     return scored.select("doc_id", (id_crc("doc_id") % 5 == 0).alias("held_out"), "score", "predicted")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.learnable())
     return scored.select("doc_id", (id_crc("doc_id") % 3 == 1).alias("held_out"), "score", "predicted")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_files, op4_pack_sequences, op5_fertility_rules, op6_sanitise, op8_toxicity, op10_quality_ranking)}
+    found = (op1_mix_sources, op2_language_id, op3_token_files, op4_pack_sequences, op5_fertility_rules, op6_sanitise, op7_embedding_join, op8_toxicity, op9_ngram_join, op10_quality_ranking)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
