@@ -325,7 +325,7 @@ def expected_smoothed(spark, sf_dir):
     return table(spark, sf_dir, CHROMS).select("region_id", "dist", F.round("balanced_avg_smoothed", PLACES).alias("smoothed"))
 
 
-@query(o.with_(o.EXPECTED.replace(o.regions(), o.regions("chroms")), o.block((100, 181), (100, 181))) + f" SELECT bin1_id, bin2_id, round(count * a.weight * b.weight, {PLACES}) AS value, CASE WHEN abs(bin2_id - bin1_id) >= 2 AND c.balanced_sum > 0 THEN round(count * a.weight * b.weight / (c.balanced_sum / n_valid), {PLACES}) END AS ooe FROM blk JOIN wt a ON a.bin_id = bin1_id JOIN wt b ON b.bin_id = bin2_id LEFT JOIN curve c ON c.region_id = 1 AND c.dist = abs(bin2_id - bin1_id)")
+@query(o.with_(o.EXPECTED.replace(o.regions(), o.regions("chroms")), o.block((100, 180), (100, 180))) + f" SELECT bin1_id, bin2_id, round(count * a.weight * b.weight, {PLACES}) AS value, CASE WHEN abs(bin2_id - bin1_id) >= 2 AND c.balanced_sum > 0 THEN round(count * a.weight * b.weight / (c.balanced_sum / n_valid), {PLACES}) END AS ooe FROM blk JOIN wt a ON a.bin_id = bin1_id JOIN wt b ON b.bin_id = bin2_id LEFT JOIN curve c ON c.region_id = 1 AND c.dist = abs(bin2_id - bin1_id)")
 def ooe_region(spark, sf_dir):
     m = matrix(spark, sf_dir)
     m = ContactMatrix(spark, LAYOUT, ASSEMBLY, m.pixel_rows, m.bin_rows.join(weights(spark, m.pixel_rows), "bin_id", "left"))
