@@ -109,12 +109,12 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label
     feats = written(all_features(docs, ident, text), "quality-features")
     got = feats.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "y").agg(F.min("f").alias("f")).orderBy("doc_id").collect()  # at most ROWS
     y = np.array([r["y"] for r in got], float)
-    model = fit(np.array([r["f"] for r in got]).reshape(len(got), -1), y)
+    model = fit(np.array([r["f"] for r in got], float).reshape(len(got), len(FEATURES)), y)
     default = 0.5 if (y > 0).any() else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = scores(np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1), model, default)
+            p = scores(np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, len(FEATURES)), model, default)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return feats.mapInArrow(run, "doc_id long, score double, predicted int")

@@ -178,7 +178,7 @@ def all_features(docs: DataFrame, odds: dict[str, float], ident: str, text: str)
 
 def _matrix(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     got = rows.select("f", "y").collect()  # a bounded sample
-    return np.array([r["f"] for r in got]).reshape(len(got), -1), np.array([r["y"] for r in got], float)
+    return np.array([r["f"] for r in got], float).reshape(len(got), len(FEATURES)), np.array([r["y"] for r in got], float)
 
 
 def train(feats: DataFrame, trees: DataFrame, calibration: DataFrame) -> tuple[dict, tuple[np.ndarray, np.ndarray]]:
@@ -211,7 +211,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
+            x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, len(FEATURES))
             p = calibrated(fit, margins(model, x))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
