@@ -91,7 +91,7 @@ def test_token_files(spark, odd, tmp_path):
     for r in sorted(got, key=lambda r: r["start"]):
         assert r["start"] == start and r["n_tokens"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
         start += r["n_tokens"]
-    assert [r["doc_id"] or -1 for r in sorted(got, key=lambda r: r["start"])] == sorted(i if i is not None else -1 for i, _, _, _ in odd_rows())
+    assert [-1 if r["doc_id"] is None else r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == sorted(i if i is not None else -1 for i, _, _, _ in odd_rows())
 
 
 def test_pack(spark, odd):
