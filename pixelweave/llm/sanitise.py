@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.llm.common import small_batches, written
@@ -105,23 +105,28 @@ def _slots(term: str) -> tuple[int, int, int]:
     return h % FILTER_BITS, (h >> 32) % FILTER_BITS, (h >> 64) % FILTER_BITS
 
 
+def digest_of(text: str | Column) -> Column:
+    """What tells texts apart; a null text is an empty one."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.unhex(F.sha2(F.coalesce(c.cast("string"), F.lit("")), 256))
+
+
 def find(docs: DataFrame, ident="doc_id", text="text") -> DataFrame:
     """doc_id, spans (of the patterns), near: (entity, term, start, end), row: a number that tells rows apart, digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
-            spans, near, digest = [], [], []
+            spans, near = [], []
             for t in b.column(1).to_pylist():
                 mine = base_spans(t) if t else []
                 spans.append([f"{KINDS[k]}:{x}:{y}" for x, k, y in mine])
                 near.append([dict(zip(("entity", "term", "start", "end"), x)) for x in near_terms(t, mine)] if mine else [])
-                digest.append(int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) if mine else 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(pa.string())), pa.array(near, near_type), pa.array(digest, pa.int64())], names=["doc_id", "spans", "near", "digest"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(pa.string())), pa.array(near, near_type), b.column(2)], names=["doc_id", "spans", "near", "digest"])
 
     small_batches(docs.sparkSession)
-    schema = "doc_id long, spans array<string>, near array<struct<entity: string, term: string, start: int, end: int>>, digest long"
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
+    schema = "doc_id long, spans array<string>, near array<struct<entity: string, term: string, start: int, end: int>>, digest binary"
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), digest_of(text).alias("digest")).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
 def document_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
@@ -191,7 +196,7 @@ def spans(docs: DataFrame, ident="doc_id", text="text") -> tuple[DataFrame, Data
     bad = written(disclosures(docs, found, text), "pii-terms")
     near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
     more = near.join(bad, ["entity", "term"]).select("row", F.concat_ws(":", "kind", "start", "end").alias("s")).distinct()
-    return found.select("doc_id", "row", "spans"), written(more.groupBy("row").agg(F.collect_list("s").alias("more")), "pii-more")
+    return found.select("doc_id", "row", "spans", "digest"), written(more.groupBy("row").agg(F.collect_list("s").alias("more")), "pii-more")
 
 
 def report(docs: DataFrame, ident="doc_id", text="text") -> DataFrame:
@@ -224,14 +229,14 @@ def replaced(text: str, marks: list[str]) -> str:
 def sanitised(docs: DataFrame, ident="doc_id", text="text") -> DataFrame:
     """docs with the spans of text replaced; docs' own columns.
 
-    The patterns are found again in each text; spans that the method adds come by document and text.
+    The patterns are found again in each text; spans that the method adds come by the digest of the text, as equal
+    texts have equal spans, whatever their ids. Texts without digit or @ hold no entity; they are dealt by row.
     """
     found, more = spans(docs, ident, text)
-    extra = found.join(more, "row").select(F.col("doc_id").alias("_id"), "spans", "more").groupBy("_id", "spans").agg(F.first("more").alias("_more")).drop("spans")
-    # rows of one id with different texts: their spans are told apart by the words that they must cover
-    extra = extra.groupBy("_id").agg(F.array_distinct(F.flatten(F.collect_list("_more"))).alias("_more"), F.count("*").alias("_texts")).where("_texts = 1").drop("_texts")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(ident).cast("long").alias("_key"), F.col(text).alias("_text"))
-    joined = rows.join(extra, F.col("_key") == F.col("_id"), "left")
+    extra = found.join(more, "row").groupBy("digest").agg(F.first("more").alias("_more"))
+    own = F.when(F.col("_text").rlike("[@0-9]"), digest_of("_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
+    joined = rows.withColumn("_key", F.coalesce(own, digest_of(F.monotonically_increasing_id()))).join(extra, F.col("_key") == F.col("digest"), "left")
 
     @F.pandas_udf("string")
     def clean(texts, marks):

@@ -151,6 +151,17 @@ def test_terms_that_reveal(spark):
     assert not any("remove" in r["spans"] for r in sanitise.report(copies).collect())
 
 
+def test_each_row_loses_its_own_terms(spark):
+    filler = [(k, f"plain words number{k} about weather and bread") for k in range(60)]
+    known = [(60, "early that Zaphod wrote to zb@example.org about tea"), (60, "Zaphod then asked zb@example.org about coffee"), (None, "milk that Zaphod got from zb@example.org there"), (60, "nobody wrote to else@example.org about bread"), (60, "early that nobody sent to zb@example.org about tea")]
+    known += [(70 + k, f"again Zaphod wrote to zb@example.org about {w}") for k, w in enumerate("water juice wine".split())]
+    rows = filler + known
+    spans = {r["doc_id"]: r["spans"] for r in sanitise.report(docs_of(spark, [(k, t, "en", "a") for k, (_, t) in enumerate(rows)])).collect()}
+    want = [sanitise.replaced(t, spans[k].split(",")) if spans[k] else t for k, (_, t) in enumerate(rows)]
+    clean = [r["text"] for r in sanitise.sanitised(docs_of(spark, [(i, t, "en", "a") for i, t in rows])).collect()]
+    assert sorted(clean) == sorted(want) and not any("Zaphod" in t for t in clean)
+
+
 def brute_components(links, ids):
     low = {i: i for i in ids}
     changed = True
