@@ -2,18 +2,22 @@
 
 Emails, IP addresses, card and phone numbers are found in every whole text by scanners that take time in proportion
 to the text. Each distinct value found is a protected entity. Which terms reveal one is estimated from the corpus: a
-term t (a word, lower-cased) that stands within REACH words of entity e is scored by
+term t (a lower-cased word of any length; of scripts that set no spaces, each two letters that follow one another)
+that stands in a text with entity e, however far off, is scored by
 
     PMI(e; t) / IC(e) = log(p(e, t) / (p(e) p(t))) / -log p(e),
 
-with probabilities over all documents. A term that occurs with the entity in at least SUPPORT different texts and
-scores TERM_GENERALISED or more is generalised, and removed from TERM_REMOVED on, wherever it stands near that entity.
-p(t) counts all documents of the corpus that hold the term; for that, documents are scanned again for the terms that
-stand near some entity (a fixed-size Bloom filter passes over most others, and a join decides). Copies of one text
-count as one text in SUPPORT, so what merely was copied along is no disclosure.
+with probabilities over all texts of the corpus; copies of one text count as one text everywhere, so what merely was
+copied along is no disclosure. A term that occurs with the entity in at least SUPPORT texts and scores
+TERM_GENERALISED or more is generalised, and removed from TERM_REMOVED on, wherever it occurs in a text that holds the
+entity. p(t) counts all texts that hold the term; for that, documents are scanned again for the terms of texts with
+entities (a fixed-size Bloom filter passes over most others, and a join decides).
 
-Entities, terms and their counts are joined and aggregated by key, with partial sums before each shuffle; no list of
-them reaches the driver or a single task.
+Terms and entities are kept by text, and meet by key. As p(e, t) is p(e) at most, a term in more than
+of_entity^g * texts^(1 - g) texts (g = TERM_GENERALISED) cannot score enough, and is left out before they meet, which
+changes no result. Entities that lie in the same texts score alike and are one class: a text that lists many entities
+is met once by each class, not by each of them. Counts have partial sums before each shuffle; no list of entities or
+terms reaches the driver or a single task.
 
 Defined results: a null text is an empty one and has no spans; equal rows get equal spans; overlaps between kinds all
 are listed, and are replaced together in the sanitised text; an empty table gives an empty result.
@@ -23,10 +27,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +42,9 @@ from pixelweave.llm.common import small_batches, written
 #: In the order in which spans with equal starts are listed.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 BASE = KINDS[:4]
-REACH, SUPPORT, TERM_GENERALISED, TERM_REMOVED = 6, 3, 0.75, 0.9
-#: Letters of a term, at least; and bits of the filter (a power of two), whatever the number of terms.
-TERM_LETTERS, FILTER_BITS = 4, 1 << 23
+SUPPORT, TERM_GENERALISED, TERM_REMOVED = 3, 0.75, 0.9
+#: Bits of a filter (a power of two), whatever the number of terms; texts that a task remembers to pass over copies.
+FILTER_BITS, REMEMBERED = 1 << 23, 200_000
 
 EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -45,7 +52,10 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGIT = re.compile(r"[0-9]")
-WORDS = re.compile(r"[^\W_]+")
+# fixed values: scripts that set no spaces between words (Thai, Lao, Burmese, Khmer, kana, Han)
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
+WORDS = re.compile(rf"[^\W_{UNSPACED}]+|[{UNSPACED}]+")
+RUN = re.compile(f"[{UNSPACED}]")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -86,22 +96,43 @@ def said(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for the words within REACH words of each span, outside all spans."""
-    taken = [(a, b) for a, _, b in spans]
-    for a, kind, b in spans:
-        entity = KINDS[kind] + " " + re.sub(r"[ ().-]", "", text[a:b].lower()) if kind else "email " + text[a:b].lower()
-        # a window of characters wide enough for REACH words of up to 40 letters, cut at the text's ends
-        left, right = max(0, a - REACH * 40), min(len(text), b + REACH * 40)
-        before = [m for m in WORDS.finditer(text, left, a) if m.start() > left or left == 0][-REACH:]
-        after = [m for m in WORDS.finditer(text, b, right) if m.end() < right or right == len(text)][:REACH]
-        for m in before + after:
-            if len(m[0]) >= TERM_LETTERS and not any(x < m.end() and m.start() < y for x, y in taken):
-                yield entity, m[0].lower(), m.start(), m.end()
+def entity_of(text: str, span: tuple[int, int, int]) -> str:
+    a, kind, b = span
+    return KINDS[kind] + " " + (re.sub(r"[ ().-]", "", text[a:b].lower()) if kind else text[a:b].lower())
 
 
-def _slots(term: str) -> tuple[int, int, int]:
-    h = int.from_bytes(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=12).digest(), "big")
+def terms_at(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of every term outside the spans of base, in order."""
+    k, until = 0, 0
+    for m in WORDS.finditer(text):
+        a, b = m.span()
+        for x in range(a, max(a + 1, b - 1)) if b - a > 2 and RUN.match(text, a) else (a,):
+            y = min(b, x + 2) if RUN.match(text, x) else b
+            while k < len(base) and base[k][0] < y:  # of the spans that start before the term's end, the farthest end
+                until = max(until, base[k][2])
+                k += 1
+            if until <= x:
+                yield text[x:y].lower(), x, y
+
+
+def terms_in(text: str) -> set[str]:
+    """All terms of a text."""
+    if text.isascii():
+        return set(WORDS.findall(text.lower()))
+    found = set()
+    for w in set(WORDS.findall(text)):
+        found.update((w[k : k + 2].lower() for k in range(max(1, len(w) - 1))) if RUN.match(w) else (w.lower(),))
+    return found
+
+
+def term_spans(text: str, removed: list[str] | None, generalised: list[str] | None) -> list[str]:
+    """The spans of a text's condemned terms, at each of their occurrences."""
+    kinds = dict.fromkeys(generalised if generalised is not None else (), "generalise") | dict.fromkeys(removed if removed is not None else (), "remove")
+    return [f"{kinds[t]}:{a}:{b}" for t, a, b in terms_at(text, base_spans(text)) if t in kinds] if kinds else []
+
+
+def _slots(key: str | bytes) -> tuple[int, int, int]:
+    h = int.from_bytes(hashlib.blake2b(key if isinstance(key, bytes) else key.encode("utf-8", "surrogatepass"), digest_size=12).digest(), "big")
     return h % FILTER_BITS, (h >> 32) % FILTER_BITS, (h >> 64) % FILTER_BITS
 
 
@@ -112,102 +143,168 @@ def digest_of(text: str | Column) -> Column:
 
 
 def find(docs: DataFrame, ident="doc_id", text="text") -> DataFrame:
-    """doc_id, spans (of the patterns), near: (entity, term, start, end), row: a number that tells rows apart, digest."""
+    """doc_id, spans (of the patterns), entities, digest of the text, text (null where it holds no entity)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
-            spans, near = [], []
+            spans, entities, kept = [], [], []
             for t in b.column(1).to_pylist():
                 mine = base_spans(t) if t else []
                 spans.append([f"{KINDS[k]}:{x}:{y}" for x, k, y in mine])
-                near.append([dict(zip(("entity", "term", "start", "end"), x)) for x in near_terms(t, mine)] if mine else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(pa.string())), pa.array(near, near_type), b.column(2)], names=["doc_id", "spans", "near", "digest"])
+                entities.append(sorted({entity_of(t, x) for x in mine}))
+                kept.append(t if mine else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(pa.string())), pa.array(entities, pa.list_(pa.string())), b.column(2), pa.array(kept, pa.string())], names=["doc_id", "spans", "entities", "digest", "text"])
 
     small_batches(docs.sparkSession)
-    schema = "doc_id long, spans array<string>, near array<struct<entity: string, term: string, start: int, end: int>>, digest binary"
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), digest_of(text).alias("digest")).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
+    schema = "doc_id long, spans array<string>, entities array<string>, digest binary, text string"
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), digest_of(text).alias("digest")).mapInArrow(run, schema)
 
 
-def document_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n): documents of the whole corpus that hold each of terms."""
+def filter_of(rows: DataFrame, keys=lambda value: (value,)) -> Broadcast:
+    """A Bloom filter (packed) of the keys of all values of a table's only column."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: set[int] = set()
+        mask = np.zeros(FILTER_BITS, bool)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                bits.update(_slots(t))
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(bits), pa.int32())], names=["bit"])
+            for value in b.column(0).to_pylist():
+                for key in keys(value):
+                    mask[list(_slots(key))] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(mask).astype(np.int32))], names=["bit"])
 
-    spark = docs.sparkSession
-    on = terms.select("term").mapInArrow(fill, "bit int").distinct().toPandas()["bit"].to_numpy()  # at most FILTER_BITS
     mask = np.zeros(FILTER_BITS, bool)
-    mask[on] = True
-    shared = spark.sparkContext.broadcast(np.packbits(mask))
+    mask[rows.mapInArrow(fill, "bit int").distinct().toPandas()["bit"].to_numpy()] = True  # at most FILTER_BITS
+    return rows.sparkSession.sparkContext.broadcast(np.packbits(mask))
+
+
+def text_counts(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n): texts of the whole corpus, copies taken as one, that hold each term of the texts with entities."""
+    wanted = filter_of(found.where("text is not null").select("text"), terms_in)
+    repeated = filter_of(found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).view(bool)
+        bits, copied = (np.unpackbits(x.value).view(bool) for x in (wanted, repeated))
         maybe: dict[str, bool] = {}
-        number: dict[str, int] = {}
+        number: Counter[str] = Counter()
+        seen: set[bytes] = set()
+
+        def hit(w: str) -> bool:
+            known = maybe.get(w)
+            if known is None:
+                known = maybe[w] = all(bits[k] for k in _slots(w))
+            return known
+
+        def rows(terms: list[str], digest: bytes | None, n: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([digest] * len(terms), pa.binary()), pa.array(n, pa.int64())], names=["term", "digest", "n"])
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), pa.array(list(number.values()), pa.int64())], names=["term", "n"])
+            mine = [w for w in number if hit(w)]
+            out = rows(mine, None, [number[w] for w in mine])
             number.clear()
+            if len(maybe) > 400_000:
+                maybe.clear()
             return out
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                for w in set(WORDS.findall(t.lower())) if t else ():
+            for t, digest in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not t:
+                    continue
+                if not all(copied[k] for k in _slots(digest)):
+                    number.update(terms_in(t))
+                elif digest not in seen:  # may have copies, in this task or another: its terms are told apart by text
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(digest)
+                    mine = [w for w in terms_in(t) if hit(w)]
+                    yield rows(mine, digest, [1] * len(mine))
+            if len(number) > 200_000:
+                yield flush()
+        yield flush()
+
+    counted = docs.select(F.col(text).alias("text"), digest_of(text).alias("digest")).mapInArrow(count, "term string, digest binary, n long")
+    counted = written(counted, "pii-counts")
+    copies = counted.where("digest is not null").select("term", "digest").distinct().select("term", F.lit(1).cast("long").alias("n"))
+    return counted.where("digest is null").select("term", "n").unionAll(copies).groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def text_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """(digest, term, n): which of terms (term, n) stand outside the spans of each text with entities."""
+    wanted = filter_of(terms.select("term"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(wanted.value).view(bool)
+        maybe: dict[str, bool] = {}
+        seen: set[bytes] = set()
+        for b in batches:
+            digests, held = [], []
+            for t, digest in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if digest in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(digest)
+                for w in {w for w, _, _ in terms_at(t, base_spans(t))}:
                     hit = maybe.get(w)
                     if hit is None:
-                        hit = maybe[w] = len(w) >= TERM_LETTERS and all(bits[k] for k in _slots(w))
+                        hit = maybe[w] = all(bits[k] for k in _slots(w))
                     if hit:
-                        number[w] = number.get(w, 0) + 1
+                        digests.append(digest), held.append(w)
             if len(maybe) > 400_000:
                 maybe.clear()
-            if len(number) > 200_000:
-                yield flush()
-        yield flush()
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(held, pa.string())], names=["digest", "term"])
 
-    if not len(on):
-        return terms.select("term", F.lit(0).cast("long").alias("n")).limit(0)
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return counted.join(terms.select("term").distinct(), "term", "left_semi")
+    return found.where("text is not null").select("text", "digest").mapInArrow(run, "digest binary, term string").distinct().join(terms, "term")
 
 
 def disclosures(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """(entity, term, kind): terms that reveal an entity, with what is done to them."""
-    held = found.where(F.size("near") > 0).select("row", "digest", F.explode("near").alias("x")).select("row", "digest", "x.entity", "x.term").distinct()
-    # copies of one text first: their rows are summed before texts are told apart
-    texts = held.groupBy("entity", "term", "digest").agg(F.count("*").alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count("*").alias("texts"))
-    pairs = written(texts.where(F.col("texts") >= SUPPORT), "pii-pairs")
-    entities = held.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
-    total = docs.count()
-    scored = pairs.join(entities, "entity").join(document_counts(docs, pairs, text), "term")
+    """(digest, removed, generalised): the terms of each text that reveal an entity in it, by what is done to them."""
+    held = found.where("text is not null").select("digest", F.explode("entities").alias("entity")).distinct()
+    # the texts of an entity as two sums of hashes: entities with equal sums lie in the same texts
+    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), F.col("digest")))
+    entities = held.groupBy("entity").agg(F.count("*").alias("of_entity"), mark(1).alias("c1"), mark(2).alias("c2"))
+    classes = written(held.join(entities, "entity").select("digest", "of_entity", "c1", "c2").distinct(), "pii-classes")
+    total = found.select("digest").distinct().count()
     n = F.lit(float(max(total, 2)))
+    most = lambda of: F.pow(of, F.lit(TERM_GENERALISED)) * F.pow(n, F.lit(1 - TERM_GENERALISED)) * (1 + 1e-9)
+    largest = classes.agg(F.max("of_entity")).first()[0] or 0
+    light = written(text_counts(docs, found, text).where(F.col("n") <= most(F.lit(float(largest)))), "pii-light")
+    near = written(text_terms(found, light).join(classes, "digest").where(F.col("n") <= most(F.col("of_entity"))), "pii-near")
+    scored = near.groupBy("c1", "c2", "of_entity", "term", "n").agg(F.count("*").alias("both"))
     information = F.log(n / F.col("of_entity"))
-    share = F.log(F.least(F.col("both") * n / (F.col("of_entity") * F.col("n")), n / F.col("of_entity"))) / F.when(information > 0, information)
-    return scored.withColumn("share", share).where(F.col("share") >= TERM_GENERALISED).select("entity", "term", F.when(F.col("share") >= TERM_REMOVED, "remove").otherwise("generalise").alias("kind"))
+    share = F.log(F.col("both") * n / (F.col("of_entity") * F.col("n"))) / F.when(information > 0, information)
+    enough = scored.where(F.col("both") >= SUPPORT).withColumn("share", share).where(F.col("share") >= TERM_GENERALISED)
+    bad = enough.select("c1", "c2", "of_entity", "term", (F.col("share") >= TERM_REMOVED).alias("gone"))
+    worst = near.join(bad, ["c1", "c2", "of_entity", "term"]).groupBy("digest", "term").agg(F.max("gone").alias("gone"))
+    return worst.groupBy("digest").agg(F.collect_list(F.when(F.col("gone"), F.col("term"))).alias("removed"), F.collect_list(F.when(~F.col("gone"), F.col("term"))).alias("generalised"))
+
+
+def by_text(rows: DataFrame, has: Column, text: str, bad: DataFrame) -> DataFrame:
+    """rows with removed and generalised of their texts; rows that surely hold no entity are dealt by row."""
+    key = F.coalesce(F.when(has, digest_of(text)), digest_of(F.monotonically_increasing_id()))
+    return rows.withColumn("_key", key).join(bad.withColumnRenamed("digest", "_digest"), F.col("_key") == F.col("_digest"), "left")
 
 
 def spans(docs: DataFrame, ident="doc_id", text="text") -> tuple[DataFrame, DataFrame]:
-    """(one row per row of docs: doc_id, row, spans of the patterns), (row, more: spans that the method adds)."""
+    """(find() of docs, disclosures() of it)."""
     found = written(find(docs, ident, text), "pii-found")
-    bad = written(disclosures(docs, found, text), "pii-terms")
-    near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    more = near.join(bad, ["entity", "term"]).select("row", F.concat_ws(":", "kind", "start", "end").alias("s")).distinct()
-    return found.select("doc_id", "row", "spans", "digest"), written(more.groupBy("row").agg(F.collect_list("s").alias("more")), "pii-more")
+    return found, written(disclosures(docs, found, text), "pii-terms")
 
 
 def report(docs: DataFrame, ident="doc_id", text="text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of docs."""
-    found, more = spans(docs, ident, text)
+    found, bad = spans(docs, ident, text)
+
+    @F.pandas_udf("array<string>")
+    def added(texts: pd.Series, removed: pd.Series, generalised: pd.Series) -> pd.Series:
+        return pd.Series([term_spans(t, r, g) if t else [] for t, r, g in zip(texts, removed, generalised)], dtype=object)
+
+    small_batches(docs.sparkSession)
+    rows = by_text(found, F.col("text").isNotNull(), "text", bad).withColumn("more", added("text", "removed", "generalised"))
     count = lambda k: F.size(F.filter("spans", lambda s: s.startswith(k + ":"))).cast("long").alias(f"n_{k}")
     place = lambda s: F.split(s, ":")
     rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), place(s)[0])
-    keyed = F.transform(F.concat("spans", F.coalesce("more", F.array().cast("array<string>"))), lambda s: F.struct(place(s)[1].cast("long").alias("a"), rank(s).alias("k"), place(s)[2].cast("long").alias("b"), s.alias("s")))
+    keyed = F.transform(F.concat("spans", "more"), lambda s: F.struct(place(s)[1].cast("long").alias("a"), rank(s).alias("k"), place(s)[2].cast("long").alias("b"), s.alias("s")))
     everything = F.array_join(F.transform(F.array_sort(keyed), lambda x: x["s"]), ",")
-    return found.join(more, "row", "left").select("doc_id", *[count(k) for k in BASE], F.sha2(F.array_join("spans", ","), 256).alias("base_sha256"), everything.alias("spans"))
+    return rows.select("doc_id", *[count(k) for k in BASE], F.sha2(F.array_join("spans", ","), 256).alias("base_sha256"), everything.alias("spans"))
 
 
 def replaced(text: str, marks: list[str]) -> str:
@@ -232,22 +329,18 @@ def sanitised(docs: DataFrame, ident="doc_id", text="text") -> DataFrame:
     The patterns are found again in each text; spans that the method adds come by the digest of the text, as equal
     texts have equal spans, whatever their ids. Texts without digit or @ hold no entity; they are dealt by row.
     """
-    found, more = spans(docs, ident, text)
-    extra = found.join(more, "row").groupBy("digest").agg(F.first("more").alias("_more"))
-    own = F.when(F.col("_text").rlike("[@0-9]"), digest_of("_text"))
+    _, bad = spans(docs, ident, text)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
-    joined = rows.withColumn("_key", F.coalesce(own, digest_of(F.monotonically_increasing_id()))).join(extra, F.col("_key") == F.col("digest"), "left")
+    joined = by_text(rows, F.col("_text").rlike("[@0-9]"), "_text", bad)
 
     @F.pandas_udf("string")
-    def clean(texts, marks):
-        import pandas as pd
-
+    def clean(texts: pd.Series, removed: pd.Series, generalised: pd.Series) -> pd.Series:
         out = []
-        for t, m in zip(texts, marks):
+        for t, r, g in zip(texts, removed, generalised):
             own = [f"{KINDS[k]}:{a}:{b}" for a, k, b in base_spans(t)] if t else []
-            out.append(replaced(t, own + list(m if m is not None else [])) if own else t)
+            out.append(replaced(t, own + term_spans(t, r, g)) if own else t)
         return pd.Series(out, dtype=object)
 
     small_batches(docs.sparkSession)
-    new = F.col("_row").withField(text, clean("_text", "_more"))
+    new = F.col("_row").withField(text, clean("_text", "removed", "generalised"))
     return joined.select(new.alias("_row")).select("_row.*")

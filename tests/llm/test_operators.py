@@ -162,6 +162,19 @@ def test_each_row_loses_its_own_terms(spark):
     assert sorted(clean) == sorted(want) and not any("Zaphod" in t for t in clean)
 
 
+def test_terms_anywhere_in_the_text(spark):
+    between = "these are more plain words about weather and bread than six"
+    filler = [f"plain words number{k} {between}" for k in range(60)]
+    known = [f"Kim of {w} {between} zb@example.org {between} KIM" for w in "tea coffee milk water".split()]
+    runs = [f"{w}\u738b\u5c0f\u660e{between} cd@example.org" for w in "\u8336 \u6c34 \u5976 \u9152".split()]
+    texts = filler + known + runs + ["Kim alone"]
+    rows = {r["doc_id"]: r["spans"] for r in sanitise.report(docs_of(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])).collect()}
+    for k in range(60, 64):
+        assert {f"generalise:{m.start()}:{m.end()}" for m in re.finditer("Kim|KIM", texts[k])} <= set(rows[k].replace("remove", "generalise").split(","))
+    clean = [r["text"] for r in sanitise.sanitised(docs_of(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])).collect()]
+    assert [t for t in clean if "kim" in t.lower()] == ["Kim alone"] and not any("\u5c0f" in t for t in clean)
+
+
 def brute_components(links, ids):
     low = {i: i for i in ids}
     changed = True
