@@ -8,9 +8,12 @@ that stands in a text with entity e, however far off, is scored by
     PMI(e; t) / IC(e) = log(p(e, t) / (p(e) p(t))) / -log p(e),
 
 with probabilities over all texts of the corpus; copies of one text count as one text everywhere, so what merely was
-copied along is no disclosure. A term that occurs with the entity in at least SUPPORT texts and scores
-TERM_GENERALISED or more is generalised, and removed from TERM_REMOVED on, wherever it occurs in a text that holds the
-entity. p(t) counts all texts that hold the term; for that, documents are scanned again for the terms of texts with
+copied along is no disclosure. A term that scores TERM_GENERALISED or more is generalised, and removed from
+TERM_REMOVED on, wherever it occurs in a text that holds the entity; no number of texts is asked for. Only pairs that
+chance alone may bring together are no evidence: that n(t) and n(e) texts of N have `both` texts in common has at most
+the probability (n(t) n(e) / N)^both / both!, and a pair where this bound is above CHANCE is left out. So one common
+text tells nothing in a corpus of a few dozen texts, but does in all larger ones if term and entity are rare in them.
+p(t) counts all texts that hold the term; for that, documents are scanned again for the terms of texts with
 entities (a fixed-size Bloom filter passes over most others, and a join decides).
 
 Terms and entities are kept by text, and meet by key. As p(e, t) is p(e) at most, a term in more than
@@ -26,6 +29,7 @@ are listed, and are replaced together in the sanitised text; an empty table give
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -42,9 +46,10 @@ from pixelweave.llm.common import small_batches, written
 #: In the order in which spans with equal starts are listed.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 BASE = KINDS[:4]
-SUPPORT, TERM_GENERALISED, TERM_REMOVED = 3, 0.75, 0.9
-#: Bits of a filter (a power of two), whatever the number of terms; texts that a task remembers to pass over copies.
-FILTER_BITS, REMEMBERED = 1 << 23, 200_000
+CHANCE, TERM_GENERALISED, TERM_REMOVED = 0.01, 0.75, 0.9
+#: Bits of a filter (a power of two), whatever the number of terms; parts in which it is put together; texts that a
+#: task remembers to pass over copies.
+FILTER_BITS, PARTS, REMEMBERED = 1 << 23, 64, 200_000
 
 EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -165,15 +170,29 @@ def filter_of(rows: DataFrame, keys=lambda value: (value,)) -> Broadcast:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.zeros(FILTER_BITS, bool)
+        seen: set[str | bytes] = set()
         for b in batches:
             for value in b.column(0).to_pylist():
-                for key in keys(value):
-                    mask[list(_slots(key))] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(mask).astype(np.int32))], names=["bit"])
-
-    mask = np.zeros(FILTER_BITS, bool)
-    mask[rows.mapInArrow(fill, "bit int").distinct().toPandas()["bit"].to_numpy()] = True  # at most FILTER_BITS
-    return rows.sparkSession.sparkContext.broadcast(np.packbits(mask))
+                new = [key for key in keys(value) if key not in seen]
+                for key in new:
+                    for k in _slots(key):
+                        mask[k] = True
+                seen.update(new)
+            if len(seen) > 400_000:
+                seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in np.split(np.packbits(mask), PARTS)], pa.binary())], names=["part", "bits"])
+
+    def union(t: pa.Table) -> pa.Table:
+        packed = np.zeros(FILTER_BITS // PARTS // 8, np.uint8)
+        for x in t.column("bits").to_pylist():
+            packed |= np.frombuffer(x, np.uint8)
+        return pa.table({"part": t.column("part")[:1], "bits": pa.array([packed.tobytes()], pa.binary())})
+
+    schema = "part int, bits binary"
+    parts = {r["part"]: r["bits"] for r in rows.mapInArrow(fill, schema).groupBy("part").applyInArrow(union, schema).collect()}  # FILTER_BITS in all
+    none = bytes(FILTER_BITS // PARTS // 8)
+    packed = np.frombuffer(b"".join(bytes(parts.get(k, none)) for k in range(PARTS)), np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(packed)
 
 
 def text_counts(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
@@ -193,18 +212,19 @@ def text_counts(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFr
                 known = maybe[w] = all(bits[k] for k in _slots(w))
             return known
 
-        def rows(terms: list[str], digest: bytes | None, n: list[int]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([digest] * len(terms), pa.binary()), pa.array(n, pa.int64())], names=["term", "digest", "n"])
+        def rows(terms: list[str], digests: list[bytes | None], n: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(digests, pa.binary()), pa.array(n, pa.int64())], names=["term", "digest", "n"])
 
         def flush() -> pa.RecordBatch:
             mine = [w for w in number if hit(w)]
-            out = rows(mine, None, [number[w] for w in mine])
+            out = rows(mine, [None] * len(mine), [number[w] for w in mine])
             number.clear()
             if len(maybe) > 400_000:
                 maybe.clear()
             return out
 
         for b in batches:
+            terms, digests = [], []
             for t, digest in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not t:
                     continue
@@ -215,7 +235,10 @@ def text_counts(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFr
                         seen.clear()
                     seen.add(digest)
                     mine = [w for w in terms_in(t) if hit(w)]
-                    yield rows(mine, digest, [1] * len(mine))
+                    terms += mine
+                    digests += [digest] * len(mine)
+            if terms:
+                yield rows(terms, digests, [1] * len(terms))
             if len(number) > 200_000:
                 yield flush()
         yield flush()
@@ -271,7 +294,10 @@ def disclosures(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFr
     scored = near.groupBy("c1", "c2", "of_entity", "term", "n").agg(F.count("*").alias("both"))
     information = F.log(n / F.col("of_entity"))
     share = F.log(F.col("both") * n / (F.col("of_entity") * F.col("n"))) / F.when(information > 0, information)
-    enough = scored.where(F.col("both") >= SUPPORT).withColumn("share", share).where(F.col("share") >= TERM_GENERALISED)
+    # the logarithm of the bound, by Stirling's series for both!, which is a little below it
+    both = F.col("both").cast("double")
+    chance = both * F.log(F.col("of_entity") * F.col("n") / n) - (both * F.log(both) - both + 0.5 * F.log(2 * math.pi * both))
+    enough = scored.where(chance <= math.log(CHANCE)).withColumn("share", share).where(F.col("share") >= TERM_GENERALISED)
     bad = enough.select("c1", "c2", "of_entity", "term", (F.col("share") >= TERM_REMOVED).alias("gone"))
     worst = near.join(bad, ["c1", "c2", "of_entity", "term"]).groupBy("digest", "term").agg(F.max("gone").alias("gone"))
     return worst.groupBy("digest").agg(F.collect_list(F.when(F.col("gone"), F.col("term"))).alias("removed"), F.collect_list(F.when(~F.col("gone"), F.col("term"))).alias("generalised"))

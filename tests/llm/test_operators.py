@@ -175,6 +175,13 @@ def test_terms_anywhere_in_the_text(spark):
     assert [t for t in clean if "kim" in t.lower()] == ["Kim alone"] and not any("\u5c0f" in t for t in clean)
 
 
+def test_terms_of_an_entity_in_one_text(spark):
+    filler = [f"plain words about weather and bread, number {k % 20}" for k in range(400)]
+    texts = [f"{t} of {k // 20}" for k, t in enumerate(filler)] + ["plain words about Zaphod and zb@example.org"] * 5 + ["bread and cd@example.org, Trillian", "weather: cd@example.org or Trillian"]
+    rows = [r["spans"] for r in sanitise.report(docs_of(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]).coalesce(1)).collect()]
+    assert [r for r in sorted(rows) if r] == sorted(["remove:18:24,email:29:43"] * 5 + ["email:10:24,remove:26:34", "email:9:23,remove:24:26,remove:27:35"])
+
+
 def brute_components(links, ids):
     low = {i: i for i in ids}
     changed = True
