@@ -6,7 +6,11 @@ have); the piece vocabulary gives the share of tokens that are byte fallbacks, w
 lacks. Over all documents that pass the rules, the quartiles of each measure are taken per language, or per script
 where a document names no language; a document is rejected if a measure lies further from the quartiles than REACH
 times their distance plus a fixed slack. Quartiles come from histograms of fixed bins, so they are the same for any
-partitioning. Groups of fewer than LEAST documents reject nothing.
+partitioning.
+
+Every document is judged, at every size of its group: the quartiles are of a language's n documents and LEAST more that
+are spread as those of its script, whose quartiles in turn are of its own and LEAST more spread as the whole corpus. So
+a small group's bounds are those of its script, and move to its own as it grows, without a step at any size.
 
 Defined results: null and empty texts have counts 0 and fail the rules; equal rows get equal verdicts; an empty table
 gives an empty result. Words are separated by ASCII white space only.
@@ -29,7 +33,8 @@ PIECES = "piece_bpe_32k.model"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("chars_per_token", "fragment_share", "fallback_share", "token_entropy")
-#: Bins per unit of a measure, quartile distances and slack that a measure may lie outside the quartiles.
+#: Bins per unit of a measure, quartile distances and slack that a measure may lie outside the quartiles; documents that
+#: a group's wider one counts for.
 STEPS, REACH, SLACK, LEAST = 500, 2.5, (0.06, 0.05, 0.02, 0.1), 50
 # fixed values: scripts by ranges of code points
 SCRIPTS = ((0x0041, 0x024F, "Latin"), (0x0370, 0x03FF, "Greek"), (0x0400, 0x052F, "Cyrillic"), (0x0590, 0x05FF, "Hebrew"), (0x0600, 0x06FF, "Arabic"), (0x0900, 0x097F, "Devanagari"), (0x0E00, 0x0E7F, "Thai"), (0x3040, 0x30FF, "Kana"), (0x4E00, 0x9FFF, "Han"), (0xAC00, 0xD7AF, "Hangul"))
@@ -135,26 +140,40 @@ def measured(docs: DataFrame, bytes_path: str, pieces_path: str, ident: str, tex
             texts = [t or "" for t in b.column(1).to_pylist()]
             base = [base_counts(t) for t in texts]
             x = [both.measure(t, raw) for t, raw in zip(texts, both.tok.encode(texts))]
-            group = [k if k is not None else "script " + script_of(t) for k, t in zip(b.column(2).to_pylist(), texts)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in zip(*base)], pa.array(group, pa.string()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "group", "x"])
+            script = [script_of(t) for t in texts]
+            group = [k if k is not None else "script " + of for k, of in zip(b.column(2).to_pylist(), script)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in zip(*base)], pa.array(group, pa.string()), pa.array(script, pa.string()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "group", "script", "x"])
 
     small_batches(docs.sparkSession)
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, group string, x array<double>"
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, group string, script string, x array<double>"
     return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(run, schema)
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """(group, lo, hi): arrays of bounds by measure, of groups with at least LEAST documents."""
-    bins = rows.select("group", F.posexplode("x").alias("m", "v")).groupBy("group", "m", F.floor(F.col("v") * STEPS).alias("bin")).agg(F.count("*").alias("n"))
-    all_of = Window.partitionBy("group", "m")  # at most as many rows as bins
+    """(group, script, lo, hi): arrays of bounds by measure, for each language (or script) and script of its documents."""
+    bins = rows.select("group", "script", F.posexplode("x").alias("m", "v")).groupBy("group", "script", "m", F.floor(F.col("v") * STEPS).alias("bin")).agg(F.count("*").cast("double").alias("n"))
+    bins = written(bins, "fertility-bins")
+    share = lambda t, *by: t.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*by, "m")))  # noqa: E731 - at most as many rows as bins
+    # each wider one's shares count as LEAST documents: the corpus for a script, and that for a language
+    corpus = share(bins.groupBy("m", "bin").agg(F.sum("n").alias("n")), "m")
+    scripts = bins.select("script").distinct()
+    own = bins.groupBy("script", "m", "bin").agg(F.sum("n").alias("n"))
+    own = own.unionAll(scripts.crossJoin(corpus).select("script", "m", "bin", F.col("p") * LEAST)).groupBy("script", "m", "bin").agg(F.sum("n").alias("n"))
+    own = share(own, "script")
+    pairs = bins.select("group", "script").distinct()
+    # a language in two scripts has its own counts in both, and each script's prior
+    mine = bins.groupBy("group", "m", "bin").agg(F.sum("n").alias("n")).join(pairs, "group").select("group", "script", "m", "bin", "n")
+    prior = pairs.join(own, "script").select("group", "script", "m", "bin", F.col("p") * LEAST)
+    bins = mine.unionAll(prior).groupBy("group", "script", "m", "bin").agg(F.sum("n").alias("n"))
+    all_of = Window.partitionBy("group", "script", "m")
     running = bins.withColumn("_run", F.sum("n").over(all_of.orderBy("bin"))).withColumn("_all", F.sum("n").over(all_of))
-    at = lambda share: F.min(F.when(F.col("_run") >= F.col("_all") * share, F.col("bin"))) / STEPS
-    quartiles = running.where(F.col("_all") >= LEAST).groupBy("group", "m").agg(at(0.25).alias("q1"), at(0.75).alias("q3"))
+    at = lambda share: F.min(F.when(F.col("_run") >= F.col("_all") * share - 1e-6, F.col("bin"))) / STEPS
+    quartiles = running.groupBy("group", "script", "m").agg(at(0.25).alias("q1"), at(0.75).alias("q3"))
     slack = F.element_at(F.array(*[F.lit(s) for s in SLACK]), F.col("m") + 1)
     wide = (F.col("q3") - F.col("q1")) * REACH + slack
-    both = quartiles.select("group", "m", (F.col("q1") - wide).alias("lo"), (F.col("q3") + wide).alias("hi"))
+    both = quartiles.select("group", "script", "m", (F.col("q1") - wide).alias("lo"), (F.col("q3") + wide).alias("hi"))
     ordered = F.sort_array(F.collect_list(F.struct("m", "lo", "hi")))
-    return both.groupBy("group").agg(ordered.alias("b")).select("group", F.transform("b", lambda s: s["lo"]).alias("lo"), F.transform("b", lambda s: s["hi"]).alias("hi"))
+    return both.groupBy("group", "script").agg(ordered.alias("b")).select("group", "script", F.transform("b", lambda s: s["lo"]).alias("lo"), F.transform("b", lambda s: s["hi"]).alias("hi"))
 
 
 def judge(docs: DataFrame, bytes_path: str | None = None, pieces_path: str | None = None, ident="doc_id", text="text", lang="lang") -> DataFrame:
@@ -165,4 +184,4 @@ def judge(docs: DataFrame, bytes_path: str | None = None, pieces_path: str | Non
     limits = written(bands(rows.where("not base_failed")), "fertility-bands")
     inside = F.forall(F.arrays_zip("x", "lo", "hi"), lambda s: (s["x"] >= s["lo"]) & (s["x"] <= s["hi"]))
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return rows.join(limits, "group", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), *[F.col("x")[k].alias(m) for k, m in enumerate(MEASURES)])
+    return rows.join(limits, ["group", "script"], "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), *[F.col("x")[k].alias(m) for k, m in enumerate(MEASURES)])

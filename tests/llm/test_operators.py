@@ -123,6 +123,17 @@ def test_fertility(odd):
     assert got[103, 30_000]["n_repeat_words"] == 30_000 and got[1, 60]["kept"]
 
 
+def test_fertility_of_rare_languages(spark):
+    words = PROSE.split()
+    rng = np.random.default_rng(0)
+    prose = lambda k: " ".join(rng.choice(words, 40 + k % 9))
+    junk = lambda k: " ".join(f"{(k + j) * 7919 % 99991:x}#{j * k:o}\x07" for j in range(40))
+    rows = [(k, prose(k), "en", "a") for k in range(300)] + [(1000 + k, prose(k), "rare", "a") for k in range(5)] + [(2000, junk(3), "rare", "a"), (2001, junk(4), "alone", "a"), (2002, junk(5), "en", "a")]
+    got = {r["doc_id"]: r for r in fertility.judge(docs_of(spark, rows)).collect()}
+    assert len(got) == len(rows) and not any(got[k]["base_failed"] or got[k]["kept"] for k in (2000, 2001, 2002))
+    assert all(got[k]["kept"] == (not got[k]["base_failed"]) for k in range(1000, 1005)) and any(got[k]["kept"] for k in range(1000, 1005))
+
+
 def test_language(spark):
     en, de = "the cat sat on the mat and the dog ran after it through the house", "der hund lief nach dem mann und die frau ging durch das haus"
     rows = [(k, en if k % 2 else de, "en" if k % 2 else "de", None) for k in range(12)] + [(20, "the house and the dog", None, None), (21, "das haus und der mann", None, None), (22, "12 !", "de", None), (23, None, "en", None), (24, "", None, None)]
