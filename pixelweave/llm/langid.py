@@ -1,12 +1,14 @@
 """Language identification by cross-parsing entropy.
 
-For each language, a bounded sample of its labelled texts is joined into one reference text, whose suffix automaton is
-built. A text is parsed against a reference by taking, again and again, the longest match that starts at the current
+For each labelled language, however rare, a bounded sample of its texts, taken from all over each of them, is joined into
+one reference text, whose suffix automaton is built. A text is parsed against a reference by taking, again and again, the longest match that starts at the current
 letter; the number of phrases, times the logarithm of the reference's length, over the number of letters, estimates
 the cross entropy. The language with the fewest normalised phrases wins; of equals, the one first in code-point order.
 
 Texts are lower-cased and reduced to words, which are runs of letters set off by spaces, and a phrase never passes the
 end of a word. So a text's phrases are the sum over its words, and a worker parses each word it has seen but once.
+Workers hold the automata of at most GROUP languages; documents pass by each group of languages in turn, and take along
+the best language so far and the sum that their score needs.
 
 Defined results: a null text, or one without letters, is `und` with score 0; nulls and labels that say `und` teach
 nothing; without any labelled text all are `und`; equal rows get equal results; an empty table gives an empty result.
@@ -21,12 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from pixelweave.llm.common import id_crc, small_batches, unit_hash, worker_cache, written
+from pixelweave.llm.common import finished, id_crc, small_batches, unit_hash, worker_cache, written
 
 UNKNOWN = "und"
-#: Texts sampled by language, letters taken from each, letters of a reference, and languages, at most.
-TEXTS, TEXT_LETTERS, REFERENCE, LANGUAGES = 60, 1500, 48_000, 400
+#: Texts sampled by language, letters taken from each, letters of a reference, and languages learned at a time, at most.
+TEXTS, TEXT_LETTERS, REFERENCE, GROUP = 60, 1500, 48_000, 12
+#: Pieces of a long text, spread evenly over it, that are learned from.
+PIECES = 10
 WORDS_REMEMBERED, LONGEST = 300_000, 48
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -94,29 +99,60 @@ def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
-def references(docs: DataFrame, learn: Column | None, ident: str, text: str, lang: str) -> dict[str, str]:
-    """The reference text of each language: at most TEXTS sampled texts' first letters."""
+def sampled(text: str) -> str:
+    """At most TEXT_LETTERS letters and spaces: PIECES runs of words, spread over the whole text where it is longer."""
+    words = words_of(text)
+    whole = " ".join(words)
+    if len(whole) <= TEXT_LETTERS:
+        return whole
+    size = TEXT_LETTERS // PIECES
+    starts = (k * (len(whole) - size) // (PIECES - 1) for k in range(PIECES))
+    return " ".join(whole[a : a + size - 1] for a in starts)
+
+
+def references(docs: DataFrame, learn: Column | None, ident: str, text: str, lang: str) -> DataFrame:
+    """(lang, texts): at most TEXTS sampled texts of every language, for its reference."""
     rows = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull())
     rows = rows.where(learn) if learn is not None else rows
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return {}
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, 2.0 * TEXTS / n)))])
-    some = rows.where(unit_hash(F.lit(5), F.col("doc_id")) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)))
-    # about twice as many as are used, and the bound is kept exactly
-    order = unit_hash(F.lit(6), F.col("doc_id"), F.col("text"))
-    short = some.select("lang", "doc_id", F.substring("text", 1, 2 * TEXT_LETTERS).alias("text"), order.alias("o")).orderBy("o").limit(3 * TEXTS * len(counts))
-    texts: dict[str, list[str]] = {}
-    for r in sorted(short.collect(), key=lambda r: (r["o"], str(r["doc_id"]))):
-        mine = texts.setdefault(r["lang"], [])
-        if len(mine) < TEXTS:
-            mine.append(" ".join(words_of(r["text"]))[:TEXT_LETTERS])
-    return {k: (" " + " ".join(dict.fromkeys(v)) + " ")[:REFERENCE] for k, v in sorted(texts.items()) if any(v)}
+    # a letter at least: what has none teaches nothing, and must not take the place of what has
+    rows = rows.where(F.col("text").rlike(r"\p{L}"))
+    share = rows.groupBy("lang").agg((2.0 * TEXTS / F.count("*")).alias("_share"))
+    # about twice as many as are used, and the bound is kept exactly; a row by language is sent, so that texts stay put
+    some = rows.join(F.broadcast(share), "lang").where(unit_hash(F.lit(5), F.col("doc_id")) < F.col("_share"))
+    order = Window.partitionBy("lang").orderBy(unit_hash(F.lit(6), F.col("doc_id"), F.col("text")), F.col("doc_id").cast("string"))
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sampled(t) for t in b.column(1).to_pylist()], pa.string()), b.column(2)], names=["lang", "text", "o"])
+
+    first = some.withColumn("o", F.row_number().over(order)).where(F.col("o") <= TEXTS).select("lang", "text", "o")
+    small_batches(docs.sparkSession)
+    short = first.mapInArrow(shorten, "lang string, text string, o int")
+    return written(short.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("o", "text"))).alias("t")).select("lang", F.col("t.text").alias("texts")), "langid-references")
 
 
 def identify(docs: DataFrame, learn: Column | None = None, ident="doc_id", text="text", lang="lang") -> DataFrame:
     """doc_id, lang_pred, score, phrases (of the language chosen), letters, for every row of docs."""
-    known = references(docs, learn, ident, text, lang)
+    learned = references(docs, learn, ident, text, lang)
+    names = sorted(r["lang"] for r in learned.select("lang").collect())
+    none = [F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("least"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("phrases"), F.lit(0).cast("long").alias("letters")]
+    state = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), *none)
+    small_batches(docs.sparkSession)
+    for at in range(0, max(1, len(names)), GROUP):
+        before = state if at else None
+        mine = names[at : at + GROUP]
+        texts = {r["lang"]: r["texts"] for r in learned.where(F.col("lang").isin(mine)).collect()} if mine else {}
+        state = parsed(state, {k: (" " + " ".join(dict.fromkeys(texts[k])) + " ")[:REFERENCE] for k in mine})
+        if at + GROUP < len(names):
+            state = written(state, "langid-state")
+            if before is not None:
+                finished(before)
+    known = F.col("lang_pred").isNotNull()
+    return state.select("doc_id", F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.when(known, 1 / F.col("total")).otherwise(0.0).alias("score"), "phrases", "letters")
+
+
+def parsed(state: DataFrame, known: dict[str, str]) -> DataFrame:
+    """state (doc_id, text, lang_pred, least, total, phrases, letters) after the languages of known (name -> reference)."""
     names = list(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,26 +167,27 @@ def identify(docs: DataFrame, learn: Column | None = None, ident="doc_id", text=
                 seen.clear()
                 seen.rows.clear()
             found = []
-            for t in b.column(1).to_pylist():
+            for t in b.column("text").to_pylist():
                 words = words_of(t) if t else []
                 found.append((np.fromiter(map(seen.__getitem__, words), np.int64, len(words)), sum(map(len, words))))
-            table = np.array(seen.rows, np.int32).reshape(-1, len(names))
-            preds, scores, phrases, letters = [], [], [], []
-            for rows, n in found:
+            table = np.array(seen.rows, np.int32).reshape(len(seen.rows), len(names))
+            preds, least, total, phrases = (b.column(c).to_pylist() for c in ("lang_pred", "least", "total", "phrases"))
+            for i, (rows, n) in enumerate(found):
                 if not len(rows) or not names:
-                    preds.append(UNKNOWN), scores.append(0.0), phrases.append(0), letters.append(n)
                     continue
                 p = table[rows].sum(0, dtype=np.int64)
                 h = p * logs / n
                 k = int(h.argmin())
-                weight = np.exp2(-(h - h[k]) * 4)
-                preds.append(names[k]), scores.append(float(1 / weight.sum())), phrases.append(int(p[k])), letters.append(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(phrases, pa.int64()), pa.array(letters, pa.int64())], names=["doc_id", "lang_pred", "score", "phrases", "letters"])
+                if preds[i] is None or h[k] < least[i]:
+                    total[i] *= 0.0 if preds[i] is None else float(np.exp2(-(least[i] - h[k]) * 4))
+                    preds[i], least[i], phrases[i] = names[k], float(h[k]), int(p[k])
+                total[i] += float(np.exp2(-(h - least[i]) * 4).sum())
+            columns = [b.column("doc_id"), b.column("text"), pa.array(preds, pa.string()), pa.array(least, pa.float64()), pa.array(total, pa.float64()), pa.array(phrases, pa.int64()), pa.array([n for _, n in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "lang_pred", "least", "total", "phrases", "letters"])
             for w in [w for w in seen if len(w) > LONGEST] if len(seen) > WORDS_REMEMBERED // 2 else []:
                 del seen[w]
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, phrases long, letters long")
+    return state.mapInArrow(run, "doc_id long, text string, lang_pred string, least double, total double, phrases long, letters long")
 
 
 def learnable() -> Column:

@@ -142,6 +142,15 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(docs_of(spark, [(1, "abc", None, None)])).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    names = [f"l{k:03d}" for k in range(405)]
+    word = lambda k, j: "".join(chr(0x4E00 + k * 8 + (j * 3 + i) % 8) for i in range(3))
+    rows = [(k, " ".join(word(k, j) for j in range(6)), n, None) for k, n in enumerate(names)]
+    rows += [(1000 + k, "common words", "l000", None) for k in range(3)] + [(2000, "1 " * 4000 + "zwei", "late", None), (2001, "zwei", None, None)]
+    got = {r["doc_id"]: r for r in langid.identify(docs_of(spark, rows)).collect()}
+    assert [got[k]["lang_pred"] for k in range(405)] == names and got[2001]["lang_pred"] == "late" and all(0 <= r["score"] <= 1 for r in got.values())
+
+
 def test_sanitise(spark, odd):
     got = sanitise.report(odd).collect()
     r = next(r for r in got if r["doc_id"] == 105)
