@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import sys
 import types
 import uuid
+from collections.abc import Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,13 +23,36 @@ def ship_by_value() -> None:
     cloudpickle.register_pickle_by_value(sys.modules["pixelweave.llm"])
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker process, across tasks."""
+def worker_cache(owner: str) -> dict:
+    """A dict that lives as long as the Python worker process, across tasks, until another owner asks for one.
+
+    Workers are used by one operator after another; what the last one remembered goes when the next one begins, and the
+    memory behind it is given back to the system.
+    """
     name = "_pixelweave_worker_cache"
     if name not in sys.modules:
         sys.modules[name] = types.ModuleType(name)
-        sys.modules[name].__dict__["entries"] = {}
-    return sys.modules[name].__dict__["entries"]
+    held = sys.modules[name].__dict__
+    if held.get("owner") != owner:
+        fresh = "owner" not in held
+        held["owner"], held["entries"] = owner, {}
+        if not fresh:
+            give_back()
+    return held["entries"]
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a GNU system: nothing to do
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,16 +73,34 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back."""
+def written(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write df as Parquet into the shared folder and read it back.
+
+    rows: how many Python code gets at a time meanwhile; the session's own number holds again afterwards.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pixelweave/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    with batches_of(spark, rows):
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Within this, Python code gets so many rows at a time; texts may be long, so they are few."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        if rows:
+            spark.conf.set(name, before)
+
+
 def finished(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more, and let Spark drop the shuffle files behind them.
 

@@ -14,8 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of longs -> (id, component) for every id with an edge: the smallest id that it reaches.
 
     Alternates large-star and small-star steps: each links ids to the smallest of their neighbours, until every id
-    links to its component's smallest. Minima are aggregated with partial sums and joined back by id, so the links of
-    an id with very many are never gathered in one place.
+    links to its component's smallest. Minima are aggregated with partial sums and joined back by id: one row meets the
+    links of an id, so that Spark may split those of an id with very many. Raises if ROUNDS are not enough.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star-edges")
     last = None
@@ -32,5 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         if last == (mark["n"], mark["h"]):
             break
         last = (mark["n"], mark["h"])
+    else:
+        raise RuntimeError(f"components have not settled in {ROUNDS} rounds")
     ends = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ends.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

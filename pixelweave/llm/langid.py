@@ -156,7 +156,7 @@ def parsed(state: DataFrame, known: dict[str, str]) -> DataFrame:
     names = list(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, key = worker_cache(), ("langid", hash(tuple(known.values())))
+        cache, key = worker_cache("langid"), ("langid", hash(tuple(known.values())))
         if key not in cache:
             cache.clear()
             cache[key] = Phrases([SuffixAutomaton(known[k]) for k in names])
