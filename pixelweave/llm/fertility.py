@@ -19,9 +19,11 @@ gives an empty result. Words are separated by ASCII white space only.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,6 +33,7 @@ from pixelweave.llm.tokens import byte_spelling, tokenizer, vocabulary_path
 
 PIECES = "piece_bpe_32k.model"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
+WORDS_REMEMBERED = 300_000
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("chars_per_token", "fragment_share", "fallback_share", "token_entropy")
 #: Bins per unit of a measure, quartile distances and slack that a measure may lie outside the quartiles; documents that
@@ -110,36 +113,74 @@ class Vocabularies:
                 self.fragment[k] = True
             except KeyError:
                 pass
-        model = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
-        self.has = frozenset(p for p in (model.id_to_piece(k) for k in range(model.get_piece_size())) if len(p) == 1) | frozenset(" \n\t\r")
-
-    def measure(self, text: str, raw: bytes) -> list[float]:
-        ids = np.frombuffer(raw, self.tok.dtype)
-        n = len(ids)
-        if not n:
-            return [0.0] * len(MEASURES)
-        missing = 0 if text.isascii() else sum(text.count(c) * len(c.encode("utf-8", "surrogatepass")) for c in set(text) - self.has)
-        if n > 2000:
-            count = np.bincount(ids)
-            count = count[count > 0]
-        else:
-            s = np.sort(ids)
-            count = np.diff(np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])))
-        entropy = np.log2(n) - float((count * np.log2(count)).sum()) / n
-        most = np.log2(min(n, self.tok.size))
-        return [len(text) / n, float(self.fragment[ids].mean()), missing / (missing + n), entropy / most if most else 0.0]
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
+        names = [self.pieces.id_to_piece(k) for k in range(self.pieces.get_piece_size())]
+        self.is_byte = np.fromiter(map(self.pieces.is_byte, range(len(names))), bool, len(names))
+        # a text of single spaces is made of its words, if no piece holds a space within
+        self.by_word = not any("\u2581" in p.lstrip("\u2581") for p in names)
+        self.known: dict[str, tuple[int, int]] = {}
+
+    def counted(self, texts: list[str]) -> np.ndarray:
+        """Tokens, and byte fallbacks among them, of each text under the piece vocabulary, by the library."""
+        ids = self.pieces.encode(texts, num_threads=1)
+        number = np.fromiter(map(len, ids), np.int64, len(ids))
+        ends = np.cumsum(number)
+        missing = np.concatenate([[0], np.cumsum(self.is_byte[np.fromiter(chain.from_iterable(ids), np.int32, int(number.sum()))])])
+        return np.stack([number, missing[ends] - missing[ends - number]], 1)
+
+    def fallbacks(self, texts: list[str]) -> np.ndarray:
+        """As counted: words that a worker has seen are remembered, and texts go whole where words are not set off plainly."""
+        out = np.zeros((len(texts), 2), np.int64)
+        plain = [k for k, t in enumerate(texts) if self.by_word and t and t[0] != " " and t[-1] != " " and "  " not in t and "\u2581" not in t]
+        rest = sorted({k for k, t in enumerate(texts) if t}.difference(plain))
+        if rest:
+            out[rest] = self.counted([texts[k] for k in rest])
+        if plain:
+            lists = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")
+            words = lists.flatten().dictionary_encode()
+            if len(self.known) > WORDS_REMEMBERED:
+                self.known.clear()
+            names = words.dictionary.to_pylist()
+            new = [w for w in names if w not in self.known]
+            mine = dict(zip(new, map(tuple, self.counted(new).tolist()))) if new else {}
+            self.known.update((w, c) for w, c in mine.items() if len(w) <= 64)
+            each = np.array([mine.get(w) or self.known[w] for w in names], np.int64).reshape(len(names), 2)
+            sums = np.concatenate([[[0, 0]], np.cumsum(each[words.indices.to_numpy()], 0)])
+            at = lists.offsets.to_numpy()
+            out[plain] = sums[at[1:]] - sums[at[:-1]]
+        return out
+
+    def measure(self, texts: list[str]) -> list[list[float]]:
+        every, number = self.tok.flat(texts)
+        fallback = self.fallbacks(texts)
+        out = []
+        for text, n, end, (tokens, missing) in zip(texts, number.tolist(), np.cumsum(number).tolist(), fallback.tolist()):
+            ids = every[end - n : end]
+            if not n:
+                out.append([0.0] * len(MEASURES))
+                continue
+            if n > 2000:
+                count = np.bincount(ids)
+                count = count[count > 0]
+            else:
+                s = np.sort(ids)
+                count = np.diff(np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])))
+            entropy = np.log2(n) - float((count * np.log2(count)).sum()) / n
+            most = np.log2(min(n, self.tok.size))
+            out.append([len(text) / n, float(self.fragment[ids].mean()), missing / tokens if tokens else 0.0, entropy / most if most else 0.0])
+        return out
 
 
 def measured(docs: DataFrame, bytes_path: str, pieces_path: str, ident: str, text: str, lang: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache()
+        cache = worker_cache("tokens")
         if ("vocabularies", bytes_path, pieces_path) not in cache:
             cache["vocabularies", bytes_path, pieces_path] = Vocabularies(bytes_path, pieces_path)
         both = cache["vocabularies", bytes_path, pieces_path]
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             base = [base_counts(t) for t in texts]
-            x = [both.measure(t, raw) for t, raw in zip(texts, both.tok.encode(texts))]
+            x = both.measure(texts)
             script = [script_of(t) for t in texts]
             group = [k if k is not None else "script " + of for k, of in zip(b.column(2).to_pylist(), script)]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in zip(*base)], pa.array(group, pa.string()), pa.array(script, pa.string()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "group", "script", "x"])

@@ -36,6 +36,8 @@ CAPACITY, END_ID = 2048, 0
 GROUPS, SMALL_PART = 96, 3
 #: Relative gain of a configuration below which the search for better ones ends.
 GAP = 3e-4
+#: Segments (40 bytes each) up to which a plan is broadcast.
+BROADCAST_SEGMENTS = 500_000
 
 Segment = tuple[int, int, int, int, int]  # length, first rank, pieces, first sequence, place in each sequence
 
@@ -189,13 +191,12 @@ def pieces(docs: DataFrame, capacity: int, path: str, end: int, ident="doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, task = tokenizer(path), TaskContext.get().partitionId()
-        last, seen = np.array([end], tok.dtype).tobytes(), np.zeros(capacity + 1, np.int64)
+        seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows: list[tuple] = []
-            names = b.column(0).to_pylist()
-            for name, raw in zip(names, tok.encode([t or "" for t in b.column(1).to_pylist()])):
-                ids = np.frombuffer(raw + last, tok.dtype)
-                n = len(ids)
+            every, number = tok.ended([t or "" for t in b.column(1).to_pylist()], end)
+            for name, n, until in zip(b.column(0).to_pylist(), number.tolist(), np.cumsum(number).tolist()):
+                ids = every[until - n : until]
                 at, piece = 0, 0
                 while at < n:
                     length = (n % capacity or capacity) if not at else capacity
@@ -227,12 +228,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     counts = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # up to capacity rows
     plan, _ = plan_sequences(counts, capacity)
     schema = "_length long, _first long, _n long, _sequence long, _at long"
-    # The plan's size follows capacity and GROUPS, not the corpus.
-    placed = F.broadcast(spark.createDataFrame(plan, schema).coalesce(1)) if plan else spark.createDataFrame([], schema)
+    placed = spark.createDataFrame(plan, schema).coalesce(1) if plan else spark.createDataFrame([], schema)
+    if len(plan) <= BROADCAST_SEGMENTS:  # the plan's size follows capacity and GROUPS, and hardly the corpus
+        placed = F.broadcast(placed)
     rank = F.col("_rank") + F.col("_base")
     keep = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return (
-        cut.join(bases.drop("n"), ["_task", "length"])
+        cut.join(bases.drop("n").hint("merge"), ["_task", "length"])  # bases grow with the tasks: not to be broadcast
         .withColumn("_r", rank)
         .join(placed, (F.col("length") == F.col("_length")) & (F.col("_r") >= F.col("_first")) & (F.col("_r") < F.col("_first") + F.col("_n")))
         .select(*keep, (F.col("_sequence") + F.col("_r") - F.col("_first")).alias("sequence_id"), F.col("_at").alias("offset"), *["ids"] * with_ids)

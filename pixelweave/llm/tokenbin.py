@@ -3,7 +3,8 @@
 write_token_files tokenises every whole text, adds an end id, counts all ids of the corpus into one shared frequency
 table, and writes frames (see rans.py) in ascending doc_id order: documents are dealt by range of doc_id, and a file's
 rows are frames of about FRAME ids, each with whole documents. Parquet carries the frames, so any store that Spark
-reaches will do. read_token_files decodes frames independently of one another.
+reaches will do. read_token_files decodes frames independently of one another. Rows of one doc_id, or without any, lie
+in one range, in the order of their ids.
 
 Defined results: a null text is encoded as empty (its end id alone); null doc_ids come first; equal doc_ids stay
 adjacent, each row on its own; an empty table gives files without frames. Other input columns are ignored.
@@ -29,36 +30,39 @@ FRAME = 1 << 20
 
 
 def encoded(docs: DataFrame, path: str, end: int, ident="doc_id", text="text") -> DataFrame:
-    """(doc_id, n, ids): ids as bytes of the vocabulary's width, the end id included."""
+    """(doc_id, n, ids, counts): ids as bytes of the vocabulary's width, the end id included; and in one row by task,
+    which has no ids, how often each id occurs in the task's rows, as pairs of 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        last = np.array([end], tok.dtype).tobytes()
+        total = np.zeros(max(tok.size, end + 1), np.int64)
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        row = lambda *columns: pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(columns, kinds)], names=["doc_id", "n", "ids", "counts"])
         for b in batches:
-            ids = [x + last for x in tok.encode([t or "" for t in b.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // tok.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
+            ids, number = tok.ended([t or "" for t in b.column(1).to_pylist()], end)
+            total += np.bincount(ids, minlength=len(total))
+            offsets = np.concatenate([[0], np.cumsum(number) * tok.dtype.itemsize]).astype(np.int32)
+            yield row(b.column(0), number, pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]), [None] * len(number))
+        some = np.flatnonzero(total)
+        yield row([None], [None], [None], [np.stack([some, total[some]]).astype("<i8").tobytes()])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, ids binary, counts binary")
 
 
-def id_counts(ids: DataFrame, size: int, width: str) -> np.ndarray:
-    """How often each id occurs in all of ids: counted by task, then summed; one number per id reaches the driver."""
+def id_counts(counts: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in the whole corpus: sums of the tasks' counts; one number per id reaches the driver."""
 
     def run(batches):
-        total = np.zeros(size, np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, width), minlength=size) if len(x) > size else 0
-                if len(x) <= size:
-                    np.add.at(total, np.frombuffer(x, width), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["id", "n"])
+                ids, number = np.frombuffer(x, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(number)], names=["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(size, np.int64)
-    counts[rows["id"].to_numpy()] = rows["n"].to_numpy()
-    return counts
+    rows = counts.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(size, np.int64)
+    total[rows["id"].to_numpy()] = rows["n"].to_numpy()
+    return total
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = END_ID, ident="doc_id", text="text") -> None:
@@ -68,7 +72,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     tok = tokenizer(vocabulary)
     size, width = max(tok.size, end + 1), tok.dtype.str
     ids = written(encoded(docs, vocabulary, end, ident, text), "token-ids")
-    freq, bits = frequency_table(id_counts(ids, size, width))
+    freq, bits = frequency_table(id_counts(ids.where("counts is not null").select("counts"), size))
+    ids = ids.where("counts is null").select("doc_id", "n", "ids")
     spark.createDataFrame(list(enumerate(freq.astype(np.int64).tolist())), "id int, freq long").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(freq)  # one number per id of the vocabulary
 
@@ -94,7 +99,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         if names:
             yield close()
 
-    dealt = ids.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    dealt = ids.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "n", F.xxhash64("ids"))
     dealt.mapInArrow(run, "file int, first long, n long, frame binary").write.option("compression", "none").parquet(f"{path}/frames")
 
 
