@@ -67,6 +67,8 @@ def shared_dir(spark: SparkSession) -> str:
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get().rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     import tempfile
 
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pixelweave-"))
@@ -116,11 +118,6 @@ def finished(*tables: DataFrame) -> None:
     jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts may be long: hand them to Python in batches of few rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixelweave.llm.common import small_batches, worker_cache, written
+from pixelweave.llm.common import worker_cache, written
 from pixelweave.llm.tokens import byte_spelling, tokenizer, vocabulary_path
 
 PIECES = "piece_bpe_32k.model"
@@ -185,7 +185,6 @@ def measured(docs: DataFrame, bytes_path: str, pieces_path: str, ident: str, tex
             group = [k if k is not None else "script " + of for k, of in zip(b.column(2).to_pylist(), script)]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in zip(*base)], pa.array(group, pa.string()), pa.array(script, pa.string()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "group", "script", "x"])
 
-    small_batches(docs.sparkSession)
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, group string, script string, x array<double>"
     return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(run, schema)
 
@@ -221,7 +220,7 @@ def judge(docs: DataFrame, bytes_path: str | None = None, pieces_path: str | Non
     """doc_id, the rules' counts, base_failed, kept, and the measures, for every row of docs."""
     rows = measured(docs, bytes_path or vocabulary_path(), pieces_path or vocabulary_path(PIECES), ident, text, lang)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    rows = written(rows.withColumn("base_failed", failed), "fertility-measures")
+    rows = written(rows.withColumn("base_failed", failed), "fertility-measures", rows=500)
     limits = written(bands(rows.where("not base_failed")), "fertility-bands")
     inside = F.forall(F.arrays_zip("x", "lo", "hi"), lambda s: (s["x"] >= s["lo"]) & (s["x"] <= s["hi"]))
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))

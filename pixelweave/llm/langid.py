@@ -1,14 +1,15 @@
 """Language identification by cross-parsing entropy.
 
-For each labelled language, however rare, a bounded sample of its texts, taken from all over each of them, is joined into
-one reference text, whose suffix automaton is built. A text is parsed against a reference by taking, again and again, the longest match that starts at the current
-letter; the number of phrases, times the logarithm of the reference's length, over the number of letters, estimates
-the cross entropy. The language with the fewest normalised phrases wins; of equals, the one first in code-point order.
+For each labelled language, however rare, texts are sampled, a bounded number of rows, and pieces from all over each of
+them are joined into one reference text, whose suffix automaton is built. A text is parsed against a reference by taking,
+again and again, the longest match that starts at the current letter; the number of phrases, times the logarithm of the
+reference's length, over the number of letters, estimates the cross entropy. The language with the fewest normalised
+phrases wins; of equals, the one first in code-point order.
 
-Texts are lower-cased and reduced to words, which are runs of letters set off by spaces, and a phrase never passes the
-end of a word. So a text's phrases are the sum over its words, and a worker parses each word it has seen but once.
-Workers hold the automata of at most GROUP languages; documents pass by each group of languages in turn, and take along
-the best language so far and the sum that their score needs.
+Texts are lower-cased and reduced to words, which are runs of letters set off by spaces; a match may pass from word to
+word. Whole texts are parsed, in segments of SEGMENT letters, where a new phrase starts; all segments of a batch go
+through the automaton side by side, as one array. Workers hold the automata of at most GROUP languages; documents pass by
+each group of languages in turn, and take along the best language so far and the sum that their score needs.
 
 Defined results: a null text, or one without letters, is `und` with score 0; nulls and labels that say `und` teach
 nothing; without any labelled text all are `und`; equal rows get equal results; an empty table gives an empty result.
@@ -25,14 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixelweave.llm.common import finished, id_crc, small_batches, unit_hash, worker_cache, written
+from pixelweave.llm.common import finished, id_crc, unit_hash, worker_cache, written
+from pixelweave.llm.tokens import PairRanks
 
 UNKNOWN = "und"
-#: Texts sampled by language, letters taken from each, letters of a reference, and languages learned at a time, at most.
-TEXTS, TEXT_LETTERS, REFERENCE, GROUP = 60, 1500, 48_000, 12
+#: Labelled rows sampled by language, letters taken from each (all are used), and languages learned at a time, at most.
+TEXTS, TEXT_LETTERS, GROUP = 60, 800, 12
 #: Pieces of a long text, spread evenly over it, that are learned from.
 PIECES = 10
-WORDS_REMEMBERED, LONGEST = 300_000, 48
+#: Letters of a segment, segments parsed side by side, and entries up to which an automaton is a plain table.
+SEGMENT, SIDE_BY_SIDE, DENSE = 1024, 2048, 1 << 23
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -81,18 +84,56 @@ class SuffixAutomaton:
         return count + (state != 0)
 
 
-class Phrases(dict):
-    """Word -> its number in rows, which hold the phrases of each word under every automaton."""
+class Parser:
+    """A reference's automaton as arrays: (state, letter) -> next state, with OPEN set if a phrase ended before it."""
 
-    def __init__(self, automata: list[SuffixAutomaton]):
-        super().__init__()
-        self.automata = automata
-        self.rows: list[list[int]] = []
+    OPEN = np.uint32(1 << 31)
 
-    def __missing__(self, word: str) -> int:
-        k = self[word] = len(self.rows)
-        self.rows.append([a.phrases(f" {word} ") for a in self.automata])
-        return k
+    def __init__(self, text: str):
+        step = SuffixAutomaton(text).next
+        letters = sorted(set(text))
+        self.code = np.zeros(0x110000, np.uint16)  # 0: a letter that the reference lacks
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        to = [(s, int(self.code[ord(c)]), t) for s, mine in enumerate(step) for c, t in mine.items()]
+        state, letter, target = np.array(to, np.int64).reshape(-1, 3).T
+        self.root = np.zeros(self.width, np.uint32)
+        self.root[letter[state == 0]] = target[state == 0]
+        self.table = None
+        if len(step) * self.width <= DENSE:
+            self.table = np.tile(self.root | self.OPEN, (len(step), 1))
+            self.table[0] = self.root
+            self.table[state, letter] = target
+            self.table = self.table.ravel()
+        else:  # many letters: only the transitions that exist
+            self.known, self.target = PairRanks(state, letter), target.astype(np.uint32)
+
+    def phrases(self, letters: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Phrases of each range of letters (code points). A letter that the reference lacks is one of its own."""
+        out = np.zeros(len(start), np.int64)
+        order = np.argsort(-size, kind="stable")
+        for at in range(0, len(order), SIDE_BY_SIDE):
+            some = order[at : at + SIDE_BY_SIDE]
+            first, n = start[some], size[some]
+            longest = int(n[0])
+            place = np.minimum(first + np.arange(longest)[:, None], len(letters) - 1)
+            codes = self.code[letters[place]]
+            inside = np.arange(longest)[:, None] < n
+            count = ((codes == 0) & inside).sum(0)
+            active = inside.sum(1).tolist()
+            state = np.zeros(len(some), np.uint32)
+            for c, k in zip(codes, active):
+                c, mine = c[:k], state[:k]
+                if self.table is not None:
+                    new = self.table[mine.astype(np.int64) * self.width + c]
+                else:
+                    rank = self.known.find(mine, c)
+                    found = rank < PairRanks.NONE
+                    new = np.where(found, self.target[np.where(found, rank, 0)], self.root[c] | np.where(mine > 0, self.OPEN, np.uint32(0)))
+                count[:k] += new >> np.uint32(31)
+                state[:k] = new & ~self.OPEN
+            out[some] = count + (state != 0)
+        return out
 
 
 def words_of(text: str) -> list[str]:
@@ -126,9 +167,8 @@ def references(docs: DataFrame, learn: Column | None, ident: str, text: str, lan
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sampled(t) for t in b.column(1).to_pylist()], pa.string()), b.column(2)], names=["lang", "text", "o"])
 
     first = some.withColumn("o", F.row_number().over(order)).where(F.col("o") <= TEXTS).select("lang", "text", "o")
-    small_batches(docs.sparkSession)
     short = first.mapInArrow(shorten, "lang string, text string, o int")
-    return written(short.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("o", "text"))).alias("t")).select("lang", F.col("t.text").alias("texts")), "langid-references")
+    return written(short.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("o", "text"))).alias("t")).select("lang", F.col("t.text").alias("texts")), "langid-references", rows=500)
 
 
 def identify(docs: DataFrame, learn: Column | None = None, ident="doc_id", text="text", lang="lang") -> DataFrame:
@@ -137,18 +177,18 @@ def identify(docs: DataFrame, learn: Column | None = None, ident="doc_id", text=
     names = sorted(r["lang"] for r in learned.select("lang").collect())
     none = [F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("least"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("phrases"), F.lit(0).cast("long").alias("letters")]
     state = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), *none)
-    small_batches(docs.sparkSession)
     for at in range(0, max(1, len(names)), GROUP):
         before = state if at else None
         mine = names[at : at + GROUP]
         texts = {r["lang"]: r["texts"] for r in learned.where(F.col("lang").isin(mine)).collect()} if mine else {}
-        state = parsed(state, {k: (" " + " ".join(dict.fromkeys(texts[k])) + " ")[:REFERENCE] for k in mine})
+        state = parsed(state, {k: " " + " ".join(dict.fromkeys(texts[k])) + " " for k in mine})
         if at + GROUP < len(names):
-            state = written(state, "langid-state")
+            state = written(state, "langid-state", rows=500)
             if before is not None:
                 finished(before)
     known = F.col("lang_pred").isNotNull()
-    return state.select("doc_id", F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.when(known, 1 / F.col("total")).otherwise(0.0).alias("score"), "phrases", "letters")
+    out = state.select("doc_id", F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.when(known, 1 / F.col("total")).otherwise(0.0).alias("score"), "phrases", "letters")
+    return written(out, "langid-found", rows=500)
 
 
 def parsed(state: DataFrame, known: dict[str, str]) -> DataFrame:
@@ -156,36 +196,35 @@ def parsed(state: DataFrame, known: dict[str, str]) -> DataFrame:
     names = list(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, key = worker_cache("langid"), ("langid", hash(tuple(known.values())))
+        cache, key = worker_cache("langid"), hash(tuple(known.values()))
         if key not in cache:
             cache.clear()
-            cache[key] = Phrases([SuffixAutomaton(known[k]) for k in names])
-        seen = cache[key]
+            cache[key] = [Parser(known[k]) for k in names]
+        parsers = cache[key]
         logs = np.log2([len(known[k]) + 1 for k in names])
         for b in batches:
-            if len(seen) > WORDS_REMEMBERED:
-                seen.clear()
-                seen.rows.clear()
-            found = []
-            for t in b.column("text").to_pylist():
-                words = words_of(t) if t else []
-                found.append((np.fromiter(map(seen.__getitem__, words), np.int64, len(words)), sum(map(len, words))))
-            table = np.array(seen.rows, np.int32).reshape(len(seen.rows), len(names))
+            texts = [f" {' '.join(words)} " if t and (words := words_of(t)) else "" for t in b.column("text").to_pylist()]
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
+            letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+            # the segments of each text
+            number = -(-size // SEGMENT)
+            turn = np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
+            start = np.repeat(np.cumsum(size) - size, number) + turn * SEGMENT
+            each = np.minimum(SEGMENT, np.repeat(size, number) - turn * SEGMENT)
+            owner = np.repeat(np.arange(len(texts)), number)
+            counts = np.stack([np.bincount(owner, p.phrases(letters, start, each), len(texts)).astype(np.int64) for p in parsers], 1) if parsers else np.zeros((len(texts), 0), np.int64)
             preds, least, total, phrases = (b.column(c).to_pylist() for c in ("lang_pred", "least", "total", "phrases"))
-            for i, (rows, n) in enumerate(found):
-                if not len(rows) or not names:
+            for i, n in enumerate(size.tolist()):
+                if not n or not names:
                     continue
-                p = table[rows].sum(0, dtype=np.int64)
-                h = p * logs / n
+                h = counts[i] * logs / n
                 k = int(h.argmin())
                 if preds[i] is None or h[k] < least[i]:
                     total[i] *= 0.0 if preds[i] is None else float(np.exp2(-(least[i] - h[k]) * 4))
-                    preds[i], least[i], phrases[i] = names[k], float(h[k]), int(p[k])
+                    preds[i], least[i], phrases[i] = names[k], float(h[k]), int(counts[i, k])
                 total[i] += float(np.exp2(-(h - least[i]) * 4).sum())
-            columns = [b.column("doc_id"), b.column("text"), pa.array(preds, pa.string()), pa.array(least, pa.float64()), pa.array(total, pa.float64()), pa.array(phrases, pa.int64()), pa.array([n for _, n in found], pa.int64())]
+            columns = [b.column("doc_id"), b.column("text"), pa.array(preds, pa.string()), pa.array(least, pa.float64()), pa.array(total, pa.float64()), pa.array(phrases, pa.int64()), pa.array(size)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "lang_pred", "least", "total", "phrases", "letters"])
-            for w in [w for w in seen if len(w) > LONGEST] if len(seen) > WORDS_REMEMBERED // 2 else []:
-                del seen[w]
 
     return state.mapInArrow(run, "doc_id long, text string, lang_pred string, least double, total double, phrases long, letters long")
 

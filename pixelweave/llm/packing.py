@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixelweave.llm.common import small_batches, written
+from pixelweave.llm.common import written
 from pixelweave.llm.tokens import ids_crc32, tokenizer, vocabulary_path
 
 CAPACITY, END_ID = 2048, 0
@@ -212,7 +212,6 @@ def pieces(docs: DataFrame, capacity: int, path: str, end: int, ident="doc_id",
                 out.append(pa.array(cols[6], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32", "_rank", "_task", "ids"][: len(out)])
 
-    small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _rank long, _task int" + ", ids array<int>" * with_ids
     return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
@@ -220,7 +219,7 @@ def pieces(docs: DataFrame, capacity: int, path: str, end: int, ident="doc_id",
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end: int = END_ID, ident="doc_id", text="text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
     spark = docs.sparkSession
-    cut = written(pieces(docs, capacity, vocabulary or vocabulary_path(), end, ident, text, with_ids), "pack-pieces")
+    cut = written(pieces(docs, capacity, vocabulary or vocabulary_path(), end, ident, text, with_ids), "pack-pieces", rows=500)
     by_task = cut.groupBy("_task", "length").agg(F.count("*").alias("n"))
     # one row by task and length, summed up by length: at most as many rows as tasks
     before = F.sum("n").over(Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))

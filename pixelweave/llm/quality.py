@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import id_crc, small_batches, unit_hash, written
+from pixelweave.llm.common import id_crc, unit_hash, written
 from pixelweave.llm.learning import paired_logistic
 
 #: Labelled rows that are sampled, and pairs drawn from them, at most.
@@ -74,7 +74,6 @@ def all_features(docs: DataFrame, ident: str, text: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t or "").tolist() for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], names=["doc_id", "f"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, f array<double>")
 
 
@@ -106,7 +105,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label
     known = marked(labels, label)
     known = known.where(learn) if learn is not None else known
     rows = written(known.withColumn("_o", unit_hash(F.lit(23), F.col("doc_id"))).orderBy("_o", "doc_id").limit(ROWS).drop("_o"), "quality-rows")
-    feats = written(all_features(docs, ident, text), "quality-features")
+    feats = written(all_features(docs, ident, text), "quality-features", rows=500)
     got = feats.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "y").agg(F.min("f").alias("f")).orderBy("doc_id").collect()  # at most ROWS
     y = np.array([r["y"] for r in got], float)
     model = fit(np.array([r["f"] for r in got], float).reshape(len(got), len(FEATURES)), y)

@@ -41,7 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import small_batches, written
+from pixelweave.llm.common import batches_of, written
 
 #: In the order in which spans with equal starts are listed.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
@@ -50,6 +50,8 @@ CHANCE, TERM_GENERALISED, TERM_REMOVED = 0.01, 0.75, 0.9
 #: Bits of a filter (a power of two), whatever the number of terms; parts in which it is put together; texts that a
 #: task remembers to pass over copies.
 FILTER_BITS, PARTS, REMEMBERED = 1 << 23, 64, 200_000
+#: Characters of texts' terms (and 100 for each text) up to which they are broadcast; texts meet them by a shuffle beyond.
+BROADCAST_CHARS = 16_000_000
 
 EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -160,7 +162,6 @@ def find(docs: DataFrame, ident="doc_id", text="text") -> DataFrame:
                 kept.append(t if mine else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(pa.string())), pa.array(entities, pa.list_(pa.string())), b.column(2), pa.array(kept, pa.string())], names=["doc_id", "spans", "entities", "digest", "text"])
 
-    small_batches(docs.sparkSession)
     schema = "doc_id long, spans array<string>, entities array<string>, digest binary, text string"
     return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), digest_of(text).alias("digest")).mapInArrow(run, schema)
 
@@ -306,13 +307,17 @@ def disclosures(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFr
 def by_text(rows: DataFrame, has: Column, text: str, bad: DataFrame) -> DataFrame:
     """rows with removed and generalised of their texts; rows that surely hold no entity are dealt by row."""
     key = F.coalesce(F.when(has, digest_of(text)), digest_of(F.monotonically_increasing_id()))
-    return rows.withColumn("_key", key).join(bad.withColumnRenamed("digest", "_digest"), F.col("_key") == F.col("_digest"), "left")
+    chars = lambda c: F.sum(F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + F.length(x) + 20))
+    size = bad.agg(F.coalesce(100 * F.count("*") + chars("removed") + chars("generalised"), F.lit(0)).alias("n")).first()["n"]
+    terms = bad.withColumnRenamed("digest", "_digest")
+    return rows.withColumn("_key", key).join(F.broadcast(terms) if size <= BROADCAST_CHARS else terms, F.col("_key") == F.col("_digest"), "left")
 
 
 def spans(docs: DataFrame, ident="doc_id", text="text") -> tuple[DataFrame, DataFrame]:
     """(find() of docs, disclosures() of it)."""
-    found = written(find(docs, ident, text), "pii-found")
-    return found, written(disclosures(docs, found, text), "pii-terms")
+    found = written(find(docs, ident, text), "pii-found", rows=500)
+    with batches_of(docs.sparkSession, 500):
+        return found, written(disclosures(docs, found, text), "pii-terms")
 
 
 def report(docs: DataFrame, ident="doc_id", text="text") -> DataFrame:
@@ -323,14 +328,14 @@ def report(docs: DataFrame, ident="doc_id", text="text") -> DataFrame:
     def added(texts: pd.Series, removed: pd.Series, generalised: pd.Series) -> pd.Series:
         return pd.Series([term_spans(t, r, g) if t else [] for t, r, g in zip(texts, removed, generalised)], dtype=object)
 
-    small_batches(docs.sparkSession)
     rows = by_text(found, F.col("text").isNotNull(), "text", bad).withColumn("more", added("text", "removed", "generalised"))
     count = lambda k: F.size(F.filter("spans", lambda s: s.startswith(k + ":"))).cast("long").alias(f"n_{k}")
     place = lambda s: F.split(s, ":")
     rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), place(s)[0])
     keyed = F.transform(F.concat("spans", "more"), lambda s: F.struct(place(s)[1].cast("long").alias("a"), rank(s).alias("k"), place(s)[2].cast("long").alias("b"), s.alias("s")))
     everything = F.array_join(F.transform(F.array_sort(keyed), lambda x: x["s"]), ",")
-    return rows.select("doc_id", *[count(k) for k in BASE], F.sha2(F.array_join("spans", ","), 256).alias("base_sha256"), everything.alias("spans"))
+    out = rows.select("doc_id", *[count(k) for k in BASE], F.sha2(F.array_join("spans", ","), 256).alias("base_sha256"), everything.alias("spans"))
+    return written(out, "pii-report", rows=500)
 
 
 def replaced(text: str, marks: list[str]) -> str:
@@ -356,7 +361,7 @@ def sanitised(docs: DataFrame, ident="doc_id", text="text") -> DataFrame:
     texts have equal spans, whatever their ids. Texts without digit or @ hold no entity; they are dealt by row.
     """
     _, bad = spans(docs, ident, text)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row"), F.col(text).alias("_text"))
     joined = by_text(rows, F.col("_text").rlike("[@0-9]"), "_text", bad)
 
     @F.pandas_udf("string")
@@ -367,6 +372,6 @@ def sanitised(docs: DataFrame, ident="doc_id", text="text") -> DataFrame:
             out.append(replaced(t, own + term_spans(t, r, g)) if own else t)
         return pd.Series(out, dtype=object)
 
-    small_batches(docs.sparkSession)
-    new = F.col("_row").withField(text, clean("_text", "removed", "generalised"))
-    return joined.select(new.alias("_row")).select("_row.*")
+    new = joined.select("_row", clean("_text", "removed", "generalised").alias("_text"))
+    out = new.select(*[F.col("_text").alias(text) if c == text else F.col(f"_row.`{c}`") for c in docs.columns])
+    return written(out, "pii-sanitised", rows=500)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import partitions, small_batches, written
+from pixelweave.llm.common import batches_of, partitions, written
 from pixelweave.llm.rans import Coder, frequency_table
 from pixelweave.llm.tokens import ids_crc32, tokenizer, vocabulary_path
 
@@ -46,7 +46,6 @@ def encoded(docs: DataFrame, path: str, end: int, ident="doc_id", text="text") -
         some = np.flatnonzero(total)
         yield row([None], [None], [None], [np.stack([some, total[some]]).astype("<i8").tobytes()])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, ids binary, counts binary")
 
 
@@ -71,7 +70,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     vocabulary = vocabulary or vocabulary_path()
     tok = tokenizer(vocabulary)
     size, width = max(tok.size, end + 1), tok.dtype.str
-    ids = written(encoded(docs, vocabulary, end, ident, text), "token-ids")
+    ids = written(encoded(docs, vocabulary, end, ident, text), "token-ids", rows=500)
     freq, bits = frequency_table(id_counts(ids.where("counts is not null").select("counts"), size))
     ids = ids.where("counts is null").select("doc_id", "n", "ids")
     spark.createDataFrame(list(enumerate(freq.astype(np.int64).tolist())), "id int, freq long").coalesce(1).write.parquet(f"{path}/table")
@@ -100,7 +99,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
             yield close()
 
     dealt = ids.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "n", F.xxhash64("ids"))
-    dealt.mapInArrow(run, "file int, first long, n long, frame binary").write.option("compression", "none").parquet(f"{path}/frames")
+    with batches_of(spark, 500):
+        dealt.mapInArrow(run, "file int, first long, n long, frame binary").write.option("compression", "none").parquet(f"{path}/frames")
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -130,5 +130,5 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                     out.append(pa.array(each, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    return frames.select("file", "frame").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    read = frames.select("file", "frame").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return written(read, "token-read", rows=4)

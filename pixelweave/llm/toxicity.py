@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import id_crc, small_batches, unit_hash, written
+from pixelweave.llm.common import batches_of, id_crc, unit_hash, written
 from pixelweave.llm.learning import boost, calibrated, isotonic, margins
 
 #: Labelled rows that are sampled for the lexicon, the trees and the calibration, at most.
@@ -172,7 +172,6 @@ def all_features(docs: DataFrame, odds: dict[str, float], ident: str, text: str)
             x = [features(t or "", codes).tolist() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "f"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, f array<double>")
 
 
@@ -205,8 +204,9 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label
     words = written(sampled(known.where(part < 0.45), LEXICON_ROWS, 1), "toxic-lexicon-rows")
     trees = written(sampled(known.where((part >= 0.45) & (part < 0.85)), TREE_ROWS, 2), "toxic-tree-rows")
     calibration = written(sampled(known.where(part >= 0.85), CALIBRATION_ROWS, 3), "toxic-calibration-rows")
-    odds = learn_lexicon(docs, words, ident, text)
-    feats = written(all_features(docs, odds, ident, text), "toxic-features")
+    with batches_of(docs.sparkSession, 500):
+        odds = learn_lexicon(docs, words, ident, text)
+    feats = written(all_features(docs, odds, ident, text), "toxic-features", rows=500)
     model, fit = train(feats, trees, calibration)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

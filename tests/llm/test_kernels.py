@@ -123,12 +123,12 @@ def test_base_counts():
     assert fertility.base_counts("") == (0, 0, 0, 0, 0) and fertility.script_of("привет ok") == "Cyrillic"
 
 
-def test_suffix_automaton_finds_longest_matches():
+def test_suffix_automaton_finds_longest_matches(monkeypatch):
     rng = random.Random(0)
     text = "".join(rng.choice("abc") for _ in range(200))
-    auto = langid.SuffixAutomaton(text)
-    for _ in range(50):
-        word = "".join(rng.choice("abcd") for _ in range(rng.randrange(30)))
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(30))) for _ in range(50)]
+    want = []
+    for word in words:
         at, count = 0, 0
         while at < len(word):
             n = 0
@@ -136,7 +136,14 @@ def test_suffix_automaton_finds_longest_matches():
                 n += 1
             at += max(n, 1)
             count += 1
-        assert auto.phrases(word) == count
+        want.append(count)
+    size = np.array([len(w) for w in words])
+    letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    auto = langid.SuffixAutomaton(text)
+    assert [auto.phrases(w) for w in words] == want
+    for dense in (1 << 23, 0):
+        monkeypatch.setattr(langid, "DENSE", dense)
+        assert langid.Parser(text).phrases(letters, np.cumsum(size) - size, size).tolist() == want
 
 
 def test_tree_search_loses_nothing():
@@ -147,7 +154,7 @@ def test_tree_search_loses_nothing():
     tree = ngram_join.RTree(points, sizes)
     for p, n in zip(points, sizes):
         want = np.flatnonzero(ngram_join.enough(n, sizes, np.minimum(points, p).sum(1)))
-        assert set(tree.search(p, int(n))[0]) == set(want)
+        assert set(tree.search(p, int(n))) == set(want)
 
 
 def test_shingles_of_short_texts(monkeypatch):
@@ -182,11 +189,17 @@ def test_sizes_bound_the_difference():
             assert a + b - 2 * o <= most[i]
 
 
-def test_points_fold_and_bound():
+def test_points_bound_overlaps():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 1 << 48, n, np.uint64)) for n in (5, 60, 64, 130, 700, 70_000)]
-    x = ngram_join.points([ngram_join.point(s) for s in sets])
-    assert x.sum(1).tolist() == [len(s) for s in sets] and x.shape[1] == ngram_join.FEWEST
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 1 << 48, len(s) // 10, np.uint64)])) for s in sets]
+    held = ngram_join.Points([ngram_join.point(s) for s in sets])
+    assert held.coarse().sum(1).tolist() == [len(s) for s in sets]
+    for i, s in enumerate(sets):
+        count = np.bincount(s.astype(np.uint16), minlength=1 << 16)
+        want = [int(np.minimum(count, np.bincount(t.astype(np.uint16), minlength=1 << 16)).sum()) for t in sets]
+        got = held.overlaps(i, np.arange(len(sets))).tolist()
+        assert got == want and all(len(np.intersect1d(s, t)) <= g for t, g in zip(sets, got))
 
 
 def test_forest_connects():
@@ -195,7 +208,7 @@ def test_forest_connects():
         n = int(rng.integers(2, 40))
         i, j = rng.integers(0, n, (2, 60))
         i, j = i[i != j], j[i != j]
-        kept = ngram_join.forest(n, i, j, rng.random(len(i)))
+        kept = ngram_join.forest(np.arange(n), i, j, rng.random(len(i)))
 
         def roots(a, b):
             low = list(range(n))

@@ -256,9 +256,21 @@ def test_join_and_choice(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({want[i] for i in texts})
 
 
-def test_join_in_blocks(spark, monkeypatch):
+def test_join_of_repeated_and_missing_ids(spark):
     texts = near_texts()
-    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    rows = [(7, texts[0]), (7, texts[0]), (7, texts[30]), (31, texts[31]), (3, texts[1]), (None, texts[1]), (None, texts[40]), (None, texts[40]), (None, None), (None, None), (50, ""), (50, "")]
+    docs = docs_of(spark, [(i, t, "en", "a") for i, t in rows])
+    got = sorted((r["doc_id"] or 0, r["n_shingles"] > 0, r["component_id"] or 0) for r in ngram_join.join(docs).collect())
+    assert got == sorted([(7, True, 3)] * 3 + [(31, True, 3), (3, True, 3), (0, True, 3)] + [(0, True, 0)] * 2 + [(0, False, 0)] * 2 + [(50, False, 50)] * 2)
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.one_of_each(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(3, texts[1]), (None, texts[40]), (None, None), (None, None), (50, ""), (50, "")], key=str)
+
+
+@pytest.mark.parametrize("block, frequent, flush", [(3, 32, 1 << 20), (2, 2, 64), (1024, 2, 256)])
+def test_join_in_blocks(spark, monkeypatch, block, frequent, flush):
+    texts = near_texts()
+    for name, value in (("BLOCK", block), ("FREQUENT", frequent), ("FLUSH", flush)):
+        monkeypatch.setattr(ngram_join, name, value)
     _, want = brute_join(texts)
     got = ngram_join.join(docs_of(spark, [(i, t, "en", "a") for i, t in texts.items()])).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
