@@ -221,9 +221,23 @@ def test_forest_connects():
 
 
 def test_calibration_reaches_its_recall():
-    for n in (1, 500, 50_000, 10**7):
-        signs, tables, least, _ = embed_join.calibrate(n)
-        assert least >= 1 and tables <= embed_join.MOST_TABLES and signs <= embed_join.MOST_SIGNS
+    from math import comb, erf, sqrt
+
+    rng = np.random.default_rng(0)
+    for n in (1, 500, 50_000, 10**7, 10**9):
+        signs, tables, least, reach = embed_join.calibrate(n)
+        assert least >= 8 and tables <= embed_join.MOST_TABLES and signs <= embed_join.MOST_SIGNS
+    p = erf(embed_join.WINDOW / sqrt(2))
+    assert sum(comb(12, k) * p**k * (1 - p) ** (12 - k) for k in range(least, 13)) >= (1 + embed_join.RECALL) / 2
+    # pairs just at the threshold, against what the calibration says of them
+    signs, tables, least, reach = embed_join.calibrate(50_000)
+    u = embed_join.unit(rng.normal(size=(4000, 32)))
+    v = rng.normal(size=u.shape)
+    v -= (u * v).sum(1)[:, None] * u
+    w = 0.93 * u + np.sqrt(1 - 0.93**2) * embed_join.unit(v)
+    cells, lines = rng.standard_normal((32, tables * signs)), rng.standard_normal((32, 12))
+    same = (((u @ cells > 0) == (w @ cells > 0)).reshape(len(u), tables, signs).all(2)).any(1)
+    assert (same & ((np.abs((u - w) @ lines) <= reach).sum(1) >= least)).mean() >= 0.997
 
 
 def test_trees_and_calibration_learn():

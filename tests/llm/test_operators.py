@@ -295,6 +295,31 @@ def test_embedding_join(spark, monkeypatch, block):
     assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k, _, _ in odd)
 
 
+def test_embedding_ids_that_repeat(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(2, 16))
+    rows = [(1, x[0].tolist(), "a"), (1, x[1].tolist(), "a"), (2, x[0].tolist(), "a"), (3, (x[1] + 0.02 * rng.normal(size=16)).tolist(), "a"), (4, x[0].tolist(), "b"), (None, x[0].tolist(), "a")]
+    got = embed_join.join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in got) == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+
+
+def test_embedding_recall_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(embed_join, "CELL", 128)
+    rng = np.random.default_rng(1)
+    u = embed_join.unit(rng.normal(size=(3000, 24)))
+    v = rng.normal(size=u.shape)
+    v -= (u * v).sum(1)[:, None] * u
+    w = 0.932 * u + np.sqrt(1 - 0.932**2) * embed_join.unit(v)  # a pair each, just above the threshold
+    x = np.concatenate([u, w]).astype(np.float32)
+    assert embed_join.calibrate(6000)[0] >= 5 and embed_join.calibrate(6000)[2] >= 8
+    rows = spark.createDataFrame([(k, y.tolist(), 1) for k, y in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embed_join.join(rows).collect()}
+    z = embed_join.unit(x.astype(float))
+    want = (z @ z.T >= 0.93).sum(1) - 1
+    found = np.array([got[k] for k in range(len(x))])
+    assert want.sum() >= 6000 and (found <= want).all() and found.sum() >= 0.998 * want.sum()
+
+
 def test_classifiers_on_odd_rows(odd, labels):
     for scored in (toxicity.score(odd, labels), quality.score(odd, labels)):
         rows = scored.collect()
