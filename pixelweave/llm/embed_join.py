@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import written
+from pixelweave.llm.common import tidy, written
 from pixelweave.llm.components import components
 
 THRESHOLD, RECALL = 0.93, 0.9995
@@ -86,7 +86,7 @@ def signed(classes: DataFrame, signs: int, tables: int, seed: int = 11) -> DataF
                     held[k] = short[n].tobytes() if exact[n] else vectors[k].tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(widths.astype(np.int32)), b.column(1), b.column(3), pa.array(held, pa.binary()), pa.array(codes, pa.binary()), pa.array(places, pa.binary())], names=["label", "width", "c", "copies", "vector", "codes", "places"])
 
-    return classes.select("label", "c", "v", "copies").mapInArrow(run, "label string, width int, c long, copies long, vector binary, codes binary, places binary")
+    return classes.select("label", "c", "v", "copies").mapInArrow(tidy(run), "label string, width int, c long, copies long, vector binary, codes binary, places binary")
 
 
 def windows(left: np.ndarray, right: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixelweave.llm.common import worker_cache, written
+from pixelweave.llm.common import tidy, worker_cache, written
 from pixelweave.llm.tokens import byte_spelling, tokenizer, vocabulary_path
 
 PIECES = "piece_bpe_32k.model"
@@ -186,7 +186,7 @@ def measured(docs: DataFrame, bytes_path: str, pieces_path: str, ident: str, tex
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in zip(*base)], pa.array(group, pa.string()), pa.array(script, pa.string()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "group", "script", "x"])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, group string, script string, x array<double>"
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(run, schema)
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(tidy(run), schema)
 
 
 def bands(rows: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixelweave.llm.common import finished, id_crc, unit_hash, worker_cache, written
+from pixelweave.llm.common import finished, id_crc, tidy, unit_hash, worker_cache, written
 from pixelweave.llm.tokens import PairRanks
 
 UNKNOWN = "und"
@@ -167,7 +167,7 @@ def references(docs: DataFrame, learn: Column | None, ident: str, text: str, lan
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sampled(t) for t in b.column(1).to_pylist()], pa.string()), b.column(2)], names=["lang", "text", "o"])
 
     first = some.withColumn("o", F.row_number().over(order)).where(F.col("o") <= TEXTS).select("lang", "text", "o")
-    short = first.mapInArrow(shorten, "lang string, text string, o int")
+    short = first.mapInArrow(tidy(shorten), "lang string, text string, o int")
     return written(short.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("o", "text"))).alias("t")).select("lang", F.col("t.text").alias("texts")), "langid-references", rows=500)
 
 
@@ -226,7 +226,7 @@ def parsed(state: DataFrame, known: dict[str, str]) -> DataFrame:
             columns = [b.column("doc_id"), b.column("text"), pa.array(preds, pa.string()), pa.array(least, pa.float64()), pa.array(total, pa.float64()), pa.array(phrases, pa.int64()), pa.array(size)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "lang_pred", "least", "total", "phrases", "letters"])
 
-    return state.mapInArrow(run, "doc_id long, text string, lang_pred string, least double, total double, phrases long, letters long")
+    return state.mapInArrow(tidy(run), "doc_id long, text string, lang_pred string, least double, total double, phrases long, letters long")
 
 
 def learnable() -> Column:

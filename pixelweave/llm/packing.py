@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixelweave.llm.common import written
+from pixelweave.llm.common import tidy, written
 from pixelweave.llm.tokens import ids_crc32, tokenizer, vocabulary_path
 
 CAPACITY, END_ID = 2048, 0
@@ -213,7 +213,7 @@ def pieces(docs: DataFrame, capacity: int, path: str, end: int, ident="doc_id",
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32", "_rank", "_task", "ids"][: len(out)])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _rank long, _task int" + ", ids array<int>" * with_ids
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end: int = END_ID, ident="doc_id", text="text", with_ids: bool = False) -> DataFrame:

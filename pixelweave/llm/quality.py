@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import id_crc, unit_hash, written
+from pixelweave.llm.common import id_crc, tidy, unit_hash, written
 from pixelweave.llm.learning import paired_logistic
 
 #: Labelled rows that are sampled, and pairs drawn from them, at most.
@@ -74,7 +74,7 @@ def all_features(docs: DataFrame, ident: str, text: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t or "").tolist() for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], names=["doc_id", "f"])
 
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, f array<double>")
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, f array<double>")
 
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> dict | None:
@@ -116,7 +116,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label
             p = scores(np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, len(FEATURES)), model, default)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return feats.mapInArrow(run, "doc_id long, score double, predicted int")
+    return feats.mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 
 
 def learnable() -> Column:

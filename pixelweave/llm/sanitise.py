@@ -41,7 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import batches_of, written
+from pixelweave.llm.common import batches_of, tidy, written
 
 #: In the order in which spans with equal starts are listed.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
@@ -163,7 +163,7 @@ def find(docs: DataFrame, ident="doc_id", text="text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(pa.string())), pa.array(entities, pa.list_(pa.string())), b.column(2), pa.array(kept, pa.string())], names=["doc_id", "spans", "entities", "digest", "text"])
 
     schema = "doc_id long, spans array<string>, entities array<string>, digest binary, text string"
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), digest_of(text).alias("digest")).mapInArrow(run, schema)
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), digest_of(text).alias("digest")).mapInArrow(tidy(run), schema)
 
 
 def filter_of(rows: DataFrame, keys=lambda value: (value,)) -> Broadcast:
@@ -190,7 +190,7 @@ def filter_of(rows: DataFrame, keys=lambda value: (value,)) -> Broadcast:
         return pa.table({"part": t.column("part")[:1], "bits": pa.array([packed.tobytes()], pa.binary())})
 
     schema = "part int, bits binary"
-    parts = {r["part"]: r["bits"] for r in rows.mapInArrow(fill, schema).groupBy("part").applyInArrow(union, schema).collect()}  # FILTER_BITS in all
+    parts = {r["part"]: r["bits"] for r in rows.mapInArrow(tidy(fill), schema).groupBy("part").applyInArrow(union, schema).collect()}  # FILTER_BITS in all
     none = bytes(FILTER_BITS // PARTS // 8)
     packed = np.frombuffer(b"".join(bytes(parts.get(k, none)) for k in range(PARTS)), np.uint8)
     return rows.sparkSession.sparkContext.broadcast(packed)
@@ -244,7 +244,7 @@ def text_counts(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFr
                 yield flush()
         yield flush()
 
-    counted = docs.select(F.col(text).alias("text"), digest_of(text).alias("digest")).mapInArrow(count, "term string, digest binary, n long")
+    counted = docs.select(F.col(text).alias("text"), digest_of(text).alias("digest")).mapInArrow(tidy(count), "term string, digest binary, n long")
     counted = written(counted, "pii-counts")
     copies = counted.where("digest is not null").select("term", "digest").distinct().select("term", F.lit(1).cast("long").alias("n"))
     return counted.where("digest is null").select("term", "n").unionAll(copies).groupBy("term").agg(F.sum("n").alias("n"))
@@ -276,7 +276,7 @@ def text_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
                 maybe.clear()
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(held, pa.string())], names=["digest", "term"])
 
-    return found.where("text is not null").select("text", "digest").mapInArrow(run, "digest binary, term string").distinct().join(terms, "term")
+    return found.where("text is not null").select("text", "digest").mapInArrow(tidy(run), "digest binary, term string").distinct().join(terms, "term")
 
 
 def disclosures(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:

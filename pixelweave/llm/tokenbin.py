@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import batches_of, partitions, written
+from pixelweave.llm.common import batches_of, partitions, tidy, written
 from pixelweave.llm.rans import Coder, frequency_table
 from pixelweave.llm.tokens import ids_crc32, tokenizer, vocabulary_path
 
@@ -46,7 +46,7 @@ def encoded(docs: DataFrame, path: str, end: int, ident="doc_id", text="text") -
         some = np.flatnonzero(total)
         yield row([None], [None], [None], [np.stack([some, total[some]]).astype("<i8").tobytes()])
 
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, ids binary, counts binary")
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, n long, ids binary, counts binary")
 
 
 def id_counts(counts: DataFrame, size: int) -> np.ndarray:
@@ -58,7 +58,7 @@ def id_counts(counts: DataFrame, size: int) -> np.ndarray:
                 ids, number = np.frombuffer(x, "<i8").reshape(2, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(number)], names=["id", "n"])
 
-    rows = counts.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = counts.mapInArrow(tidy(run), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(size, np.int64)
     total[rows["id"].to_numpy()] = rows["n"].to_numpy()
     return total
@@ -100,7 +100,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
 
     dealt = ids.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "n", F.xxhash64("ids"))
     with batches_of(spark, 500):
-        dealt.mapInArrow(run, "file int, first long, n long, frame binary").write.option("compression", "none").parquet(f"{path}/frames")
+        dealt.mapInArrow(tidy(run), "file int, first long, n long, frame binary").write.option("compression", "none").parquet(f"{path}/frames")
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -130,5 +130,5 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                     out.append(pa.array(each, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    read = frames.select("file", "frame").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    read = frames.select("file", "frame").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
     return written(read, "token-read", rows=4)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import batches_of, id_crc, unit_hash, written
+from pixelweave.llm.common import batches_of, id_crc, tidy, unit_hash, written
 from pixelweave.llm.learning import boost, calibrated, isotonic, margins
 
 #: Labelled rows that are sampled for the lexicon, the trees and the calibration, at most.
@@ -152,7 +152,7 @@ def learn_lexicon(docs: DataFrame, known: DataFrame, ident: str, text: str) -> d
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
         return {w: 1.0 for w in INSULTS}
-    counted = rows.mapInArrow(run, "term string, y int").groupBy("term").agg(F.sum("y").alias("k1"), F.sum(1 - F.col("y")).alias("k0"))
+    counted = rows.mapInArrow(tidy(run), "term string, y int").groupBy("term").agg(F.sum("y").alias("k1"), F.sum(1 - F.col("y")).alias("k0"))
     odds = F.log((F.col("k1") + 0.5) / (n1 + 1.0)) - F.log((F.col("k0") + 0.5) / (n0 + 1.0))
     best = counted.where(F.col("k1") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     # the longest terms last: of two beginnings that say the same, the shorter is kept by its larger count
@@ -172,7 +172,7 @@ def all_features(docs: DataFrame, odds: dict[str, float], ident: str, text: str)
             x = [features(t or "", codes).tolist() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "f"])
 
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, f array<double>")
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, f array<double>")
 
 
 def _matrix(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +215,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label
             p = calibrated(fit, margins(model, x))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return feats.mapInArrow(run, "doc_id long, score double, predicted int")
+    return feats.mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, ident="doc_id", text="text", **how) -> DataFrame:
