@@ -87,7 +87,7 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy", rows: int | None = None) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back.
 
     rows: how many Python code gets at a time meanwhile; the session's own number holds again afterwards.

@@ -35,11 +35,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pixelweave.llm.common import batches_of, tidy, written
 
@@ -324,11 +324,13 @@ def report(docs: DataFrame, ident="doc_id", text="text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of docs."""
     found, bad = spans(docs, ident, text)
 
-    @F.pandas_udf("array<string>")
-    def added(texts: pd.Series, removed: pd.Series, generalised: pd.Series) -> pd.Series:
-        return pd.Series([term_spans(t, r, g) if t else [] for t, r, g in zip(texts, removed, generalised)], dtype=object)
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            more = [term_spans(t, r, g) if t else [] for t, r, g in zip(*(b.column(c).to_pylist() for c in ("text", "removed", "generalised")))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("spans"), pa.array(more, pa.list_(pa.string()))], names=["doc_id", "spans", "more"])
 
-    rows = by_text(found, F.col("text").isNotNull(), "text", bad).withColumn("more", added("text", "removed", "generalised"))
+    rows = by_text(found, F.col("text").isNotNull(), "text", bad).select("doc_id", "spans", "text", "removed", "generalised")
+    rows = rows.mapInArrow(tidy(added), "doc_id long, spans array<string>, more array<string>")
     count = lambda k: F.size(F.filter("spans", lambda s: s.startswith(k + ":"))).cast("long").alias(f"n_{k}")
     place = lambda s: F.split(s, ":")
     rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), place(s)[0])
@@ -364,14 +366,15 @@ def sanitised(docs: DataFrame, ident="doc_id", text="text") -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row"), F.col(text).alias("_text"))
     joined = by_text(rows, F.col("_text").rlike("[@0-9]"), "_text", bad)
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series, removed: pd.Series, generalised: pd.Series) -> pd.Series:
-        out = []
-        for t, r, g in zip(texts, removed, generalised):
-            own = [f"{KINDS[k]}:{a}:{b}" for a, k, b in base_spans(t)] if t else []
-            out.append(replaced(t, own + term_spans(t, r, g)) if own else t)
-        return pd.Series(out, dtype=object)
-
-    new = joined.select("_row", clean("_text", "removed", "generalised").alias("_text"))
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t, r, g in zip(*(b.column(c).to_pylist() for c in ("_text", "removed", "generalised"))):
+                own = [f"{KINDS[k]}:{x}:{y}" for x, k, y in base_spans(t)] if t else []
+                out.append(replaced(t, own + term_spans(t, r, g)) if own else t)
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(out, pa.string())], names=["_row", "_text"])
+
+    schema = StructType([joined.schema["_row"], StructField("_text", StringType())])
+    new = joined.select("_row", "_text", "removed", "generalised").mapInArrow(tidy(clean), schema)
     out = new.select(*[F.col("_text").alias(text) if c == text else F.col(f"_row.`{c}`") for c in docs.columns])
     return written(out, "pii-sanitised", rows=500)

@@ -34,7 +34,7 @@ LEXICON_ROWS, TREE_ROWS, CALIBRATION_ROWS = 8000, 16000, 6000
 TERMS, LEAST_DOCS, LEAST_ODDS = 600, 4, 1.6
 #: Words between a hit and a second person that count as near.
 NEAR = 8
-WORDS_REMEMBERED = 400_000
+WORDS_REMEMBERED = 200_000
 # fixed values
 INSULTS = "idiot idiots moron morons scum loser losers stupid trash pathetic worthless disgusting clown dumb imbecile vermin filth filthy jerk bastard".split()
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes tú ti tus vosotros".split()
