@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,42 +47,45 @@ def sums(pixels: DataFrame, weights: DataFrame, members: DataFrame, nbins: int,
     return rows.groupBy("region_id", "dist").agg(F.sum(F.col("count").cast("long")).cast("double").alias("count_sum"), F.sum("b").alias("balanced_sum"))
 
 
-def assemble(found: pd.DataFrame, good: np.ndarray, spans: list[tuple[int, int]], ignore_diags: int) -> pd.DataFrame:
-    """The whole table from the sums; one row per region and separation, so at most two per bin."""
-    tables, total = [], max([b - a for a, b in spans], default=0)
-    all_sum, all_valid = np.zeros(total), np.zeros(total)
-    for k, (a, b) in enumerate(spans):
-        n = b - a
-        if n <= 0:
-            continue
-        mine = found[found["region_id"] == k]
+def by_region(sums: DataFrame, bins: DataFrame, ignore_diags: int) -> DataFrame:
+    """region_id, dist, the columns but the last, and whole_sum: a region's curve in a task of its own.
+
+    bins: region_id, bin_id, good, for all bins of the regions. A region has at most as many rows as bins.
+    """
+
+    def curve(found: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        n = len(mine)
         count, balanced = np.zeros(n), np.zeros(n)
-        count[mine["dist"].to_numpy()] = mine["count_sum"].to_numpy()
-        balanced[mine["dist"].to_numpy()] = mine["balanced_sum"].to_numpy()
-        valid, xs = separations(good[a:b]), np.arange(n, dtype=float)
-        all_sum[:n] += balanced
-        all_valid[:n] += valid
+        count[found["dist"].to_numpy(int)], balanced[found["dist"].to_numpy(int)] = found["count_sum"].to_numpy(), found["balanced_sum"].to_numpy()
+        valid, xs = separations(mine.sort_values("bin_id")["good"].to_numpy(bool)), np.arange(n, dtype=float)
         near = xs < ignore_diags
         with np.errstate(all="ignore"):
             s, v = smoothed(xs, balanced, valid)
-            t = pd.DataFrame({"region_id": k, "dist": np.arange(n), "n_total": n - xs, "n_valid": valid, "count_sum": np.where(near, np.nan, count), "count_avg": np.where(near, np.nan, count / (n - xs)), "balanced_sum": np.where(near, np.nan, balanced), "balanced_avg": np.where(near | (valid == 0), np.nan, balanced / valid), "balanced_avg_smoothed": np.where(xs == 0, np.nan, s / v)})
-        tables.append(t)
-    if not tables:
-        return pd.DataFrame(columns=["region_id", "dist", *COLUMNS])
-    with np.errstate(all="ignore"):
-        s, v = smoothed(np.arange(total, dtype=float), all_sum, all_valid)
-        whole = s / v
-    whole[:1] = np.nan
-    out = pd.concat(tables, ignore_index=True)
-    out["balanced_avg_smoothed_agg"] = whole[out["dist"].to_numpy()]
-    return out
+            parts = {"n_total": n - xs, "n_valid": valid, "count_sum": np.where(near, np.nan, count), "count_avg": np.where(near, np.nan, count / (n - xs)), "balanced_sum": np.where(near, np.nan, balanced), "balanced_avg": np.where(near | (valid == 0), np.nan, balanced / valid), "balanced_avg_smoothed": np.where(xs == 0, np.nan, s / v)}
+        return pd.DataFrame({"region_id": mine["region_id"].iloc[0] if n else 0, "dist": np.arange(n), **parts, "whole_sum": balanced})
+
+    kinds = "region_id int, dist long, " + ", ".join(f"{c} double" for c in (*COLUMNS[:-1], "whole_sum"))
+    # regions without sums still have bins: the left side may be empty, the right one never
+    return sums.groupBy("region_id").cogroup(bins.groupBy("region_id")).applyInPandas(curve, kinds)
 
 
 def expected(pixels: DataFrame, weights: DataFrame, layout: Layout, regions: list[Region], ignore_diags: int = 2) -> DataFrame:
     """region_id, dist and COLUMNS; what is not defined is null."""
     spark = pixels.sparkSession
-    found = sums(pixels, weights, region_bins(spark, layout, regions), layout.nbins, ignore_diags).toPandas()
-    w = weights.select("bin_id", "weight").toPandas().sort_values("bin_id")  # one row per bin
-    out = assemble(found, w["weight"].notna().to_numpy(), [layout.span(r) for r in regions], ignore_diags)
-    rows = [(int(r[0]), int(r[1]), *[None if x != x or x in (float("inf"), float("-inf")) else float(x) for x in r[2:]]) for r in out[["region_id", "dist", *COLUMNS]].itertuples(index=False)]
-    return spark.createDataFrame(rows, SCHEMA)
+    members = region_bins(spark, layout, regions)
+    good = weights.select("bin_id", F.col("weight").isNotNull().alias("good"))
+    found = sums(pixels, weights, members, layout.nbins, ignore_diags)
+    table = by_region(found, members.join(small(good, layout.nbins), "bin_id"), ignore_diags).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # the aggregate curve: one row by separation, at most as many as a region has bins
+        whole = table.groupBy("dist").agg(F.sum("whole_sum").alias("s"), F.sum("n_valid").alias("v")).toPandas().sort_values("dist")
+        with np.errstate(all="ignore"):
+            s, v = smoothed(whole["dist"].to_numpy(float), whole["s"].to_numpy(float), whole["v"].to_numpy(float))
+            value = s / v
+        value[:1] = np.nan
+        agg = spark.createDataFrame(pa.table({"dist": pa.array(whole["dist"].to_numpy(np.int64)), COLUMNS[-1]: pa.array(value, pa.float64(), mask=~np.isfinite(value))}))
+        out = table.join(small(agg, layout.nbins), "dist").select("region_id", "dist", *[F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).alias(c) for c in COLUMNS])
+        kept = out.toArrow()  # two rows per bin at most: they outlive the cached table
+        return spark.createDataFrame(kept)
+    finally:
+        table.unpersist()

@@ -17,6 +17,8 @@ from pixelweave.functions.genome import Layout
 
 #: A table of this many bins takes some 100 MB as a broadcast.
 BROADCAST_BINS = 4_000_000
+#: Chromosomes up to which an expression names them all.
+FEW_CHROMOSOMES = 40
 
 
 def small(table: DataFrame, rows: int) -> DataFrame:
@@ -58,27 +60,36 @@ def clamped(tables: list[DataFrame]) -> int:
     return rows.groupBy("bin1_id", "bin2_id").agg(F.sum(F.col("count").cast("long")).alias("n")).where(F.col("n") > MOST).count()
 
 
-def chrom_of(bin_id: Column, layout: Layout) -> Column:
-    """The chromosome's number, by comparing with the first bins; a short list, kept in the expression."""
-    out = F.lit(0)
-    for k, first in enumerate(layout.offsets):
-        if layout.counts[k] and first:
-            out = F.when(bin_id >= first, F.lit(k)).otherwise(out)
-    return out.cast("int")
+def coarse_bins(spark: SparkSession, layout: Layout, factor: int) -> DataFrame:
+    """bin_id, coarse_id of every bin."""
+    coarser = Layout(layout.sizes, layout.binsize * factor)
+    rows = layout_table(spark, layout, coarser).where("number > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("number") - 1)))
+    return rows.select((F.col("first") + F.col("k")).alias("bin_id"), coarse(F.col("first") + F.col("k"), F.col("first"), F.col("coarse_first"), factor).alias("coarse_id"))
 
 
 def coarsen(pixels: DataFrame, layout: Layout, factor: int) -> DataFrame:
-    """Sums of counts over factor x factor cells; no cell passes the end of a chromosome."""
+    """Sums of counts over factor x factor cells; no cell passes the end of a chromosome.
+
+    Of few chromosomes, a bin's is found by comparing with their first bins; of many, by joining the bins.
+    """
     if factor < 1:
         raise ValueError("the factor must be at least 1")
-    coarser = Layout(layout.sizes, layout.binsize * factor)
-    offsets, firsts = (F.array(*[F.lit(x).cast("long") for x in of]) for of in (layout.offsets, coarser.offsets))
-
-    def to(b: str) -> Column:
-        k = chrom_of(F.col(b), layout) + 1
-        return coarse(F.col(b), F.element_at(offsets, k), F.element_at(firsts, k), factor)
-
-    mapped = pixels.select(to("bin1_id").alias("bin1_id"), to("bin2_id").alias("bin2_id"), "count")
+    if sum(map(bool, layout.counts)) <= FEW_CHROMOSOMES:
+        coarser = Layout(layout.sizes, layout.binsize * factor)
+
+        def to(b: str) -> Column:
+            out = F.lit(None)
+            for first, n, to_first in zip(layout.offsets, layout.counts, coarser.offsets):
+                if n:
+                    here = coarse(F.col(b), F.lit(first), F.lit(to_first), factor)
+                    out = F.when(F.col(b) >= first, here).otherwise(out) if first else here
+            return out
+
+        mapped = pixels.select(to("bin1_id").alias("bin1_id"), to("bin2_id").alias("bin2_id"), "count")
+    else:
+        bins = coarse_bins(pixels.sparkSession, layout, factor)
+        side = lambda k: small(bins.select(F.col("bin_id").alias(f"bin{k}_id"), F.col("coarse_id").alias(f"to{k}")), layout.nbins)
+        mapped = pixels.join(side(1), "bin1_id").join(side(2), "bin2_id").select(F.col("to1").alias("bin1_id"), F.col("to2").alias("bin2_id"), "count")
     return mapped.groupBy("bin1_id", "bin2_id").agg(saturated(F.sum(F.col("count").cast("long"))).alias("count"))
 
 

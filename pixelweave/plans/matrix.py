@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import warnings
 from collections.abc import Sequence
 
@@ -54,6 +55,8 @@ class Selector:
         a, b, step = key.indices(len(self))
         if step != 1:
             raise ValueError("only steps of 1 are supported")
+        if self.kind == "pixels" and a < b:
+            return self.matrix.pixel_range(a, b)
         return self.table.orderBy(*self.order).offset(a).limit(max(0, b - a))
 
     def fetch(self, region, region2=None) -> DataFrame:
@@ -134,8 +137,7 @@ class ContactMatrix:
         self.close()
 
     def close(self) -> None:
-        for table, _ in self._curves.values():
-            table.unpersist()
+        """Nothing is kept open: tables are lazy and not cached."""
 
     def create_views(self, prefix: str = "") -> None:
         """Temporary views for SQL: chroms, bins, pixels."""
@@ -169,6 +171,30 @@ class ContactMatrix:
         t = self.pixel_rows.agg(F.count("*").alias("nnz"), F.coalesce(F.sum(F.col("count").cast("long")), F.lit(0)).alias("sum")).first()
         return {"nbins": self.layout.nbins, "nchroms": len(self.layout.sizes), "nnz": t["nnz"], "sum": t["sum"], "bin_size": self.binsize, "assembly": self.assembly, "balanced": self.is_balanced}
 
+    def pixel_range(self, a: int, b: int) -> DataFrame:
+        """Pixels a..b-1 in order. The index tells which bin1 they have, so that only these are read and sorted."""
+        at = counting.bin1_offsets(self.pixel_rows, self.layout)
+        ends = at.agg(F.max(F.when(F.col("bin1_offset") <= a, F.struct("bin_id", "bin1_offset"))).alias("lo"), F.min(F.when(F.col("bin1_offset") >= b, F.col("bin_id"))).alias("hi")).first()
+        rows = self.pixel_rows.where((F.col("bin1_id") >= ends["lo"]["bin_id"]) & (F.col("bin1_id") < (ends["hi"] if ends["hi"] is not None else self.layout.nbins)))
+        return rows.orderBy("bin1_id", "bin2_id").offset(a - ends["lo"]["bin1_offset"]).limit(b - a)
+
+    def read_probe(self) -> dict:
+        """Reads all pixels once and tells how many they are, and at what rate."""
+        began = time.perf_counter()
+        t = self.pixel_rows.agg(F.count("*").alias("n"), F.sum(F.hash("bin1_id", "bin2_id", "count").cast("long")).alias("h")).first()
+        took = max(time.perf_counter() - began, 1e-9)
+        return {"pixels": t["n"], "seconds": took, "pixels_per_second": t["n"] / took}
+
+    def to_pandas(self, rows: DataFrame):
+        """rows on the driver, chromosomes as ordered categories in the matrix's order."""
+        import pandas as pd
+
+        out = rows.toPandas()
+        for c in ("chrom", "chrom1", "chrom2", "name"):
+            if c in out and (c != "name" or set(out[c]) <= set(self.chromnames)):
+                out[c] = pd.Categorical(out[c], categories=self.chromnames, ordered=True)
+        return out
+
     def chroms(self) -> Selector:
         return Selector(self, counting.chrom_table(self.spark, self.layout), ["chrom_id"], "chroms")
 
@@ -214,6 +240,21 @@ class ContactMatrix:
 
     balance = balanced
 
+    def sparse(self, region, region2=None, balanced: bool = False) -> DataFrame:
+        """bin1_id, bin2_id, value of a block; with balanced, each cell of a masked bin is listed as NaN."""
+        rows, columns = self.extent(region), self.extent(region2 if region2 is not None else region)
+        if not balanced:
+            return self._block(rows, columns, False).select("bin1_id", "bin2_id", F.col("count").cast("double").alias("value"))
+        cells = self._block(rows, columns, True).where("value is not null").select("bin1_id", "bin2_id", "value")
+        masked = self.weights.where("weight is null")
+        every = lambda span: F.explode(F.sequence(F.lit(span[0]).cast("long"), F.lit(span[1] - 1).cast("long")))
+        if rows[0] >= rows[1] or columns[0] >= columns[1]:
+            return cells
+        inside = lambda span: masked.where((F.col("bin_id") >= span[0]) & (F.col("bin_id") < span[1]))
+        across = inside(rows).select(F.col("bin_id").alias("bin1_id"), every(columns).alias("bin2_id"))
+        down = inside(columns).select(every(rows).alias("bin1_id"), F.col("bin_id").alias("bin2_id"))
+        return cells.unionByName(across.unionAll(down).distinct().withColumn("value", F.lit(float("nan"))))
+
     def matrix(self, balance: bool = False) -> Blocks:
         return Blocks(self, balance)
 
@@ -409,11 +450,8 @@ def repack(spark: SparkSession, source: str, out: str | None = None, backup: boo
 def numbered(table: DataFrame, order: Sequence[str]) -> DataFrame:
     """table with position = 0, 1, ... in the order of columns, by ranges; only counts by range reach the driver."""
     dealt = table.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist()
-    counts = {r["_range"]: r["count"] for r in dealt.groupBy("_range").count().collect()}
-    before, at = [], 0
-    for k in range(max(counts, default=-1) + 1):
-        before.append(at)
-        at += counts.get(k, 0)
-    base = F.element_at(F.array(*[F.lit(x).cast("long") for x in before or [0]]), F.col("_range") + 1)
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row by range
+    bases = table.sparkSession.createDataFrame(counts.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base")).toArrow())
     local = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return dealt.withColumn("position", base + local).drop("_range")
+    return dealt.join(F.broadcast(bases), "_range").withColumn("position", F.col("_base") + local).drop("_range", "_base")

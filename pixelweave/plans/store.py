@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import re
 import uuid
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelweave.functions.columns import MOST
 from pixelweave.functions.genome import Layout
 
 FORMAT, VERSION = "pixelweave", 1
@@ -57,19 +59,31 @@ class Files:
 
 
 def replaced(spark: SparkSession, path: str, write: Callable[[str], None], backup: bool = False) -> None:
-    """Write beside path, then put it in place; what was there is kept until then, and a failure leaves it alone."""
+    """Write beside path, then put it in place; what was there is kept until then, and a failure leaves it alone.
+
+    backup keeps it as path.bak, instead of an earlier backup; else earlier backups are not touched.
+    """
     files, path = Files(spark, path), path.rstrip("/")
-    beside, aside = f"{path}._tmp-{uuid.uuid4().hex}", f"{path}.bak"
+    beside, aside = f"{path}._tmp-{uuid.uuid4().hex}", f"{path}._old-{uuid.uuid4().hex}"
     try:
         write(beside)
     except BaseException:
         files.delete(beside)
         raise
-    if files.exists(path):
-        files.delete(aside)
+    had = files.exists(path)
+    if had:
         files.rename(path, aside)
-    files.rename(beside, path)
-    if not backup:
+    try:
+        files.rename(beside, path)
+    except BaseException:
+        if had:
+            files.rename(aside, path)
+        files.delete(beside)
+        raise
+    if had and backup:
+        files.delete(f"{path}.bak")
+        files.rename(aside, f"{path}.bak")
+    elif had:
         files.delete(aside)
 
 
@@ -85,8 +99,13 @@ def write_level(path: str, layout: Layout, assembly: str, pixels: DataFrame, bin
     bins.repartitionByRange("bin_id").sortWithinPartitions("bin_id").write.option("compression", how).parquet(f"{path}/bins")
     rows = [(k, c, n) for k, (c, n) in enumerate(layout.sizes)]
     spark.createDataFrame(rows, "chrom_id int, name string, length int").coalesce(1).write.parquet(f"{path}/chroms")
-    nnz = spark.read.parquet(f"{path}/pixels").count()
-    write_meta(spark, path, layout, assembly, nnz, attributes)
+    written = spark.read.parquet(f"{path}/pixels")
+    nnz = written.count()
+    # pixels at the largest count, by statistics of the files where there are none
+    full = written.where(F.col("count") == MOST).count()
+    if full:
+        warnings.warn(f"{full} pixels reached the largest count, {MOST}, and were cut there", stacklevel=2)
+    write_meta(spark, path, layout, assembly, nnz, attributes | {"saturated": full})
 
 
 def write_meta(spark: SparkSession, path: str, layout: Layout, assembly: str, nnz: int, attributes: dict) -> None:

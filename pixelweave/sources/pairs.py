@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,20 @@ from pixelweave.functions.genome import Layout
 HEADER_LINES = 1_000_000
 
 
-def spool(stream=None) -> str:
-    """Standard input as a file, for path '-'."""
-    with tempfile.NamedTemporaryFile("wb", suffix=".pairs", delete=False) as f:
-        for block in iter(lambda: (stream or sys.stdin.buffer).read(1 << 20), b""):
-            f.write(block)
-    return f.name
+def spool(spark: SparkSession, stream=None) -> str:
+    """Standard input as a file, for path '-': in the folder that all executors share, or a local one in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("standard input needs spark.checkpoint.dir, a folder that all executors share")
+    path = f"{(shared or tempfile.gettempdir()).rstrip('/')}/stdin-{uuid.uuid4().hex}.pairs"
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(to)
+    for block in iter(lambda: (stream or sys.stdin.buffer).read(1 << 20), b""):
+        out.write(block)
+    out.close()
+    files.deleteOnExit(to)
+    return path
 
 
 def header_sizes(lines: list[str]) -> list[tuple[str, int]]:
@@ -40,14 +49,16 @@ def header_sizes(lines: list[str]) -> list[tuple[str, int]]:
 
 def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, list[tuple[str, int]]]:
     """(value: lines of the file, chromosome sizes). Gzip is known by suffix and dealt out after the scan."""
-    path = spool() if path == "-" else path
+    path = spool(spark) if path == "-" else path
     lines = spark.read.text(path)
     head: list[str] = []
     step = 256
     while True:  # limit() reads as few partitions as it can
         head = [r["value"] for r in lines.limit(step).collect()]
-        if len(head) < step or any(not x.startswith("#") for x in head) or step >= HEADER_LINES:
+        if len(head) < step or any(not x.startswith("#") for x in head):
             break
+        if step >= HEADER_LINES:
+            raise ValueError(f"the header has more than {HEADER_LINES} lines")
         step *= 8
     if path.endswith(".gz"):
         lines = lines.repartition(max(2, spark.sparkContext.defaultParallelism))
