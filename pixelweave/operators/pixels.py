@@ -54,6 +54,16 @@ def merge(tables: list[DataFrame]) -> DataFrame:
     return rows.groupBy("bin1_id", "bin2_id").agg(saturated(F.sum(F.col("count").cast("long"))).alias("count"))
 
 
+def keys(pixels: DataFrame, nbins: int) -> DataFrame:
+    """bin1_id, bin2_id as one number, in the order of pixels."""
+    return pixels.select((F.col("bin1_id") * nbins + F.col("bin2_id")).alias("key"))
+
+
+def from_keys(rows: DataFrame, nbins: int) -> DataFrame:
+    """bin1_id, bin2_id, key of keys."""
+    return rows.select(F.expr(f"key div {nbins}").cast("long").alias("bin1_id"), F.expr(f"key % {nbins}").cast("long").alias("bin2_id"), "key")
+
+
 def clamped(tables: list[DataFrame]) -> int:
     """How many merged pixels exceed the largest count."""
     rows = reduce(DataFrame.unionByName, [t.select("bin1_id", "bin2_id", "count") for t in tables])

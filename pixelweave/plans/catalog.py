@@ -246,10 +246,9 @@ def spmv_ones(spark, sf_dir):
 
 @query(o.with_(o.PIXELS, o.mask(), o.corrected(10)) + f" SELECT bin_id, round(b, {PLACES}) AS bias FROM w10")
 def ic_10_iterations(spark, sf_dir):
-    rows = pixels(spark, sf_dir).persist()
-    mask = balancing.good_bins(rows, counting.bin_table(spark, LAYOUT)).toPandas().sort_values("bin_id")
-    good = mask["good"].to_numpy(bool)
-    times, free = balancing.product(rows.where("bin2_id - bin1_id >= 2"), LAYOUT.nbins)
+    rows = pixels(spark, sf_dir).where("bin2_id - bin1_id >= 2")
+    good = balancing.masked(rows, counting.bin_table(spark, LAYOUT)).column("good").to_numpy()
+    times, free = balancing.product(rows, LAYOUT.nbins)
     weight, said = balancing.correct(times, good, 0.0, 10)
     free()
     bias = np.where(good, weight * np.sqrt(said["scale"]), 0.0)
@@ -296,7 +295,10 @@ def expected_sums(spark, sf_dir):
 
 def table(spark, sf_dir, regions: list[Region] = ARMS) -> DataFrame:
     rows = pixels(spark, sf_dir).persist()
-    return curves.expected(rows, weights(spark, rows), LAYOUT, regions)
+    try:
+        return curves.expected(rows, weights(spark, rows), LAYOUT, regions)
+    finally:
+        rows.unpersist()
 
 
 @query(o.with_(o.EXPECTED) + " SELECT CAST(region_id AS INTEGER) AS region_id, dist, CAST(len - dist AS DOUBLE) AS n_total, CAST(n_valid AS DOUBLE) AS n_valid FROM curve")
@@ -335,16 +337,10 @@ def ooe_region(spark, sf_dir):
 
 @query(o.with_(o.chroms(), o.bins()) + ' SELECT bin_id, chrom, "start", "end", CAST(bin_id * 2 AS BIGINT) AS gc FROM bins')
 def repack_extra_bin_column(spark, sf_dir):
-    import shutil
-    import tempfile
-
+    from pixelweave.plans.api_catalog import workspace
     from pixelweave.plans.matrix import repack
 
-    folder = tempfile.mkdtemp(prefix="pixelweave-repack-")
-    try:
-        extra = counting.bin_table(spark, LAYOUT).withColumn("gc", F.col("bin_id") * 2).withColumn("weight", F.lit(1.0))
-        ContactMatrix(spark, LAYOUT, ASSEMBLY, pixels(spark, sf_dir), extra).save(folder + "/m")
-        rows = repack(spark, folder + "/m", with_expected=False)[BINSIZE].bin_rows.select("bin_id", "chrom", "start", "end", "gc").collect()
-    finally:
-        shutil.rmtree(folder, ignore_errors=True)
-    return spark.createDataFrame(rows, "bin_id long, chrom string, start int, end int, gc long")
+    folder = workspace(spark)
+    extra = counting.bin_table(spark, LAYOUT).withColumn("gc", F.col("bin_id") * 2).withColumn("weight", F.lit(1.0))
+    ContactMatrix(spark, LAYOUT, ASSEMBLY, pixels(spark, sf_dir), extra).save(folder + "/m")
+    return repack(spark, folder + "/m", with_expected=False)[BINSIZE].bin_rows.select("bin_id", "chrom", "start", "end", "gc")

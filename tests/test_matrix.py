@@ -1,4 +1,5 @@
 import gzip
+import json
 import random
 from collections import Counter
 
@@ -265,3 +266,45 @@ def test_synthetic_pairs(spark):
     assert t.where("pos1 < 1 or pos2 < 1 or pos1 > 1000 or pos2 > 1000").count() == 0
     assert sorted(t.collect()) == sorted(generate(spark, 4000, TOY, 5, partitions=7).collect())
     assert 0.75 < t.where("chrom1 = chrom2").count() / 4000 < 0.95
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from pixelweave import __main__ as cli
+
+    lines = ["#chromsize: c1 1000", "#chromsize: c2 500", *[f"r\tc1\t{1 + k * 37 % 1000}\tc2\t{1 + k * 91 % 500}" for k in range(400)]]
+    (tmp_path / "x.pairs").write_text("\n".join(lines) + "\n")
+    x, two, z = (str(tmp_path / k) for k in ("x", "two", "z"))
+    cli.main(["cload", "-o", x, "--assembly", "toy", str(tmp_path / "x.pairs"), "50"])
+    cli.main(["merge", "-o", two, x, x])
+    cli.main(["zoomify", "-o", z, "-r", "50,100", two])
+    cli.main(["balance", "--min-nnz", "1", "--mad-max", "0", "--no-expected", z])
+    cli.main(["expected", "--view", "chroms", z + "::resolutions/100"])
+    cli.main(["repack", "--no-expected", "--backup", z])
+    cli.main(["info", z])
+    said = [json.loads(t) for t in capsys.readouterr().out.splitlines() if t.startswith("{")]
+    assert [i["sum"] for i in said] == [400, 800, 800, 800, 800, 800, 800, 800, 800, 800, 800] and [i["balanced"] for i in said[-2:]] == [True, True]
+    with pytest.raises(SystemExit):
+        cli.main(["cload", x])
+
+
+def test_ordered_chromosomes_and_replacement(spark, tmp_path):
+    sizes = [("z", 100), ("a", 50)]
+    pairs = spark.createDataFrame([("a", 1, "z", 5), ("z", 80, "z", 99)], "chrom1 string, pos1 long, chrom2 string, pos2 long")
+    x = m.from_pairs(spark, pairs, sizes, 10, "toy").save(str(tmp_path / "m"))
+    t = x.to_pandas(x.pixels(join=True)[:])
+    assert list(t["chrom1"].cat.categories) == ["z", "a"] and t["chrom1"].cat.ordered
+    path = str(tmp_path / "d")
+    write = lambda text: lambda to: spark.createDataFrame([(text,)], "x string").write.parquet(to)
+    for text, backup in (("one", False), ("two", True), ("three", False)):
+        store.replaced(spark, path, write(text), backup)
+    assert spark.read.parquet(path).first()["x"] == "three" and spark.read.parquet(path + ".bak").first()["x"] == "one"
+
+
+def test_coarsen_of_many_chromosomes(spark, monkeypatch):
+    from pixelweave.operators import pixels as counting
+
+    layout = Layout([(f"c{k}", 37 + k) for k in range(60)], 5)
+    rows = spark.createDataFrame([(i, i + i * i % 7, 1 + i % 3) for i in range(layout.nbins - 7)], "bin1_id long, bin2_id long, count int")
+    many = sorted(map(tuple, counting.coarsen(rows, layout, 3).collect()))
+    monkeypatch.setattr(counting, "FEW_CHROMOSOMES", 100)
+    assert many == sorted(map(tuple, counting.coarsen(rows, layout, 3).collect()))
