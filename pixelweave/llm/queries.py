@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm import embed_join, fertility, langid, mixing, ngram_join, packing, quality, sanitise, tokenbin, toxicity
+from pixelweave.llm import embed_join, fertility, langid, mixing, ngram_join, oracle, packing, quality, sanitise, tokenbin, toxicity
 from pixelweave.llm.common import id_crc, shared_dir, ship_by_value, table
 
 ship_by_value()
@@ -61,10 +61,25 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_crc("doc_id") % 3 == 1).alias("held_out"), "score", "predicted")
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op1 SQL can express."""
+    return op1_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def fertility_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op5 SQL can express."""
+    return op5_fertility_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def sanitise_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op6 SQL can express."""
+    return op6_sanitise(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_mix_sources, op2_language_id, op3_token_files, op4_pack_sequences, op5_fertility_rules, op6_sanitise, op7_embedding_join, op8_toxicity, op9_ngram_join, op10_quality_ranking)
+    found = (op1_mix_sources, op2_language_id, op3_token_files, op4_pack_sequences, op5_fertility_rules, op6_sanitise, op7_embedding_join, op8_toxicity, op9_ngram_join, op10_quality_ranking, mix_targets, fertility_base, sanitise_base)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_embedding_join": oracle.EMBEDDING_JOIN, "op9_ngram_join": oracle.NGRAM_JOIN, "mix_targets": oracle.MIX_TARGETS, "fertility_base": oracle.BASE_RULES, "sanitise_base": oracle.PII_COUNTS}

@@ -157,6 +157,12 @@ def test_tree_search_loses_nothing():
         assert set(tree.search(p, int(n))) == set(want)
 
 
+def test_words_have_hashes_of_their_own():
+    words = sorted({"".join(random.Random(k).choice("aeiouñ") for _ in range(3 + k % 40)) for k in range(5000)})
+    h = ngram_join.word_hashes(" ".join(words).encode())
+    assert len(h) == len(words) == len(set(h.tolist())) and h.tolist() == [int(ngram_join.word_hashes(w.encode())[0]) for w in words]
+
+
 def test_shingles_of_short_texts(monkeypatch):
     cut = ngram_join.shingles
     assert len(cut("  ")) == 0 and len(cut("a B")) == 1
