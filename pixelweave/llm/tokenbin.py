@@ -70,7 +70,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     vocabulary = vocabulary or vocabulary_path()
     tok = tokenizer(vocabulary)
     size, width = max(tok.size, end + 1), tok.dtype.str
-    ids = written(encoded(docs, vocabulary, end, ident, text), "token-ids", rows=500)
+    ids = written(encoded(docs, vocabulary, end, ident, text), "token-ids", "zstd", rows=500)
     freq, bits = frequency_table(id_counts(ids.where("counts is not null").select("counts"), size))
     ids = ids.where("counts is null").select("doc_id", "n", "ids")
     spark.createDataFrame(list(enumerate(freq.astype(np.int64).tolist())), "id int, freq long").coalesce(1).write.parquet(f"{path}/table")
