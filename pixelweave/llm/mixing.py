@@ -72,7 +72,9 @@ def _rate(size: Column, lam: Column, scale: Column, cap: int) -> Column:
 def solve(groups: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
     """Newton's method on the dual: (source, size, n) and targets -> targets with _lam and _scale."""
     hist = written(groups.where("size > 0").groupBy("source", "size").agg(F.sum("n").alias("n")), "mix-sizes")
-    scales = hist.groupBy("source").agg((F.sum(F.col("size").cast("double") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("_scale"))
+    # sums of doubles depend on their order, and a last bit may decide whether a step is taken: sum decimals instead
+    exact = lambda x: F.sum(x.cast("decimal(38,12)")).cast("double")
+    scales = hist.groupBy("source").agg((exact(F.col("size").cast("double") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("_scale"))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     full = F.col("target") >= F.col("source_size") * (cap * (1 - 1e-12))
     state = (
@@ -84,7 +86,7 @@ def solve(groups: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
         joined = hist.join(state.where("not _done").withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
         rate = _rate(F.col("size"), F.col("_lam"), F.col("_scale"), cap)
         words = F.col("size") * F.col("n") * rate
-        sums = joined.groupBy("source").agg(F.sum(words).alias("_g"), F.sum(F.when(rate < cap, words * F.col("size") / F.col("_scale")).otherwise(0.0)).alias("_h")).withColumnRenamed("source", "_s")
+        sums = joined.groupBy("source").agg(exact(words).alias("_g"), exact(F.when(rate < cap, words * F.col("size") / F.col("_scale")).otherwise(0.0)).alias("_h")).withColumnRenamed("source", "_s")
         short = F.col("_g") < F.col("target")
         lo, hi = F.when(short, F.col("_lam")).otherwise(F.col("_lo")), F.when(short, F.col("_hi")).otherwise(F.col("_lam"))
         step = F.col("_lam") + (F.col("target") - F.col("_g")) / F.when(F.col("_h") > 0, F.col("_h"))
@@ -99,8 +101,9 @@ def solve(groups: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
         )
         if state.where("not _done").isEmpty():
             break
-    # sums of doubles depend on their order in the last bits: round them off, so that reruns agree
-    return state.select("source", "source_size", "target", F.round("_lam", 9).alias("_lam"), F.round("_scale", 9).alias("_scale"))
+    else:
+        raise RuntimeError(f"rates have not met their targets in {NEWTON_STEPS} steps")
+    return state.select("source", "source_size", "target", "_lam", "_scale")
 
 
 def _base(size: Column, ident: Column, cap: int) -> tuple[Column, Column]:
