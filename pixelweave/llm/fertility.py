@@ -196,9 +196,9 @@ def bands(rows: DataFrame) -> DataFrame:
     share = lambda t, *by: t.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*by, "m")))  # noqa: E731 - at most as many rows as bins
     # each wider one's shares count as LEAST documents: the corpus for a script, and that for a language
     corpus = share(bins.groupBy("m", "bin").agg(F.sum("n").alias("n")), "m")
-    scripts = bins.select("script").distinct()
+    scripts = bins.select("script", "m").distinct()
     own = bins.groupBy("script", "m", "bin").agg(F.sum("n").alias("n"))
-    own = own.unionAll(scripts.crossJoin(corpus).select("script", "m", "bin", F.col("p") * LEAST)).groupBy("script", "m", "bin").agg(F.sum("n").alias("n"))
+    own = own.unionAll(scripts.join(corpus, "m").select("script", "m", "bin", F.col("p") * LEAST)).groupBy("script", "m", "bin").agg(F.sum("n").alias("n"))
     own = share(own, "script")
     pairs = bins.select("group", "script").distinct()
     # a language in two scripts has its own counts in both, and each script's prior
