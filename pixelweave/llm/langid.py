@@ -158,8 +158,9 @@ def references(docs: DataFrame, learn: Column | None, ident: str, text: str, lan
     # a letter at least: what has none teaches nothing, and must not take the place of what has
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
     share = rows.groupBy("lang").agg((2.0 * TEXTS / F.count("*")).alias("_share"))
-    # about twice as many as are used, and the bound is kept exactly; a row by language is sent, so that texts stay put
-    some = rows.join(F.broadcast(share), "lang").where(unit_hash(F.lit(5), F.col("doc_id")) < F.col("_share"))
+    # about twice as many as are used, and the bound is kept exactly; a row by language, written so that its size is known:
+    # Spark broadcasts it while it is small, and texts stay put
+    some = rows.join(written(share, "langid-shares"), "lang").where(unit_hash(F.lit(5), F.col("doc_id")) < F.col("_share"))
     order = Window.partitionBy("lang").orderBy(unit_hash(F.lit(6), F.col("doc_id"), F.col("text")), F.col("doc_id").cast("string"))
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
