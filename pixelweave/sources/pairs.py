@@ -47,14 +47,28 @@ def header_sizes(lines: list[str]) -> list[tuple[str, int]]:
     return sizes
 
 
+def head_lines(lines: DataFrame, number: int) -> list[str]:
+    """The first lines: of several files, those of the first by name that has any. limit() reads as few partitions as it can."""
+    files = sorted(lines.inputFiles())
+    for one in files if len(files) > 1 else [None]:
+        # partitions are dealt by size, not by name: a condition on the path leaves one file to scan
+        rows = lines if one is None else lines.where(F.col("_metadata.file_path").endswith("/" + one.partition(":")[2].lstrip("/")))  # file:/a, file:///a
+        if head := [r["value"] for r in rows.limit(number).collect()]:
+            return head
+    return []
+
+
 def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, list[tuple[str, int]]]:
-    """(value: lines of the file, chromosome sizes). Gzip is known by suffix and dealt out after the scan."""
+    """(value: lines of a file or of a folder's files, chromosome sizes).
+
+    Of several files the first by name has the header; further headers are comments. Gzip is known by suffix and dealt
+    out after the scan.
+    """
     path = spool(spark) if path == "-" else path
     lines = spark.read.text(path)
-    head: list[str] = []
     step = 256
-    while True:  # limit() reads as few partitions as it can
-        head = [r["value"] for r in lines.limit(step).collect()]
+    while True:
+        head = head_lines(lines, step)
         if len(head) < step or any(not x.startswith("#") for x in head):
             break
         if step >= HEADER_LINES:
