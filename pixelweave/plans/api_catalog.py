@@ -28,14 +28,15 @@ def workspace(spark: SparkSession) -> str:
     return f"{(shared or tempfile.gettempdir()).rstrip('/')}/pixelweave-api/{uuid.uuid4().hex}"
 
 
-def pairs_text(spark: SparkSession, sf_dir: str, path: str, headed: bool = True, parts: int = 1) -> str:
+def pairs_text(spark: SparkSession, sf_dir: str, path: str, headed: bool = True, least: int = 1) -> str:
     """The fixture's pairs as text: a header, data lines, and lines that a reader must skip; or data lines alone.
 
-    Each task writes the lines that it scans to a file of its own.
+    Each task writes the lines that it scans to a file of its own; only where the scan has fewer parts than `least` are
+    they dealt out.
     """
     lines = pairs(spark, sf_dir).select(F.concat_ws("\t", F.lit("r"), "chrom1", "pos1", "chrom2", "pos2", F.lit("+"), F.lit("-")).alias("value"))
-    if parts > 1:
-        lines = lines.repartition(parts)
+    if lines.rdd.getNumPartitions() < least:
+        lines = lines.repartition(least)
     if headed:
         head = ["## pairs format v1.0", *(f"#chromsize: {c} {n}" for c, n in SIZES), "#columns: readID chrom1 pos1 chrom2 pos2"]
         odd = ["", "# a comment among the data", "short\tchrA\t1"]
@@ -171,7 +172,7 @@ def api_repack_files(spark, sf_dir) -> DataFrame:
 @query(o.with_(o.PIXELS) + f" SELECT {KEY} FROM px")
 def stream_counts(spark, sf_dir) -> DataFrame:
     at = workspace(spark)
-    incremental.count_stream(spark, pairs_text(spark, sf_dir, f"{at}/pairs", headed=False, parts=3), LAYOUT, f"{at}/out", f"{at}/state").awaitTermination()
+    incremental.count_stream(spark, pairs_text(spark, sf_dir, f"{at}/pairs", headed=False, least=3), LAYOUT, f"{at}/out", f"{at}/state").awaitTermination()
     return incremental.counted(spark, f"{at}/out")
 
 

@@ -46,3 +46,15 @@ def test_header_of_several_files(spark, tmp_path):
     (folder / "3.pairs").write_text("r\tc\t1\tc\t2\n" * 2000)
     lines, sizes = reading.read_lines(spark, str(tmp_path / "a b*"))
     assert sizes == [("c", 950)] and reading.parse(lines).count() == 2500
+
+
+def test_stream_is_fed_by_all_parts_of_the_scan(spark, many_files, monkeypatch):
+    started, real = [], api_catalog.incremental.count_stream
+
+    def start(spark, folder, *rest):
+        started.append(len(spark.read.text(folder).inputFiles()))
+        return real(spark, folder, *rest)
+
+    monkeypatch.setattr(api_catalog.incremental, "count_stream", start)
+    assert of(api_catalog.stream_counts(spark, many_files)) == of(catalog.pixels(spark, SF))
+    assert started[0] >= 6  # as many files as the scan has parts
