@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,19 +14,12 @@ from pixelweave.operators import pixels as counting
 from pixelweave.plans import matrix as m
 from pixelweave.plans import oracle as o
 from pixelweave.plans import store
-from pixelweave.plans.catalog import KEY, MASK, PLACES, matrix, pixels, query, rounded
+from pixelweave.plans.catalog import KEY, MASK, PLACES, matrix, pixels, pixels_once, query, rounded
 from pixelweave.plans.fixture import ASSEMBLY, BINSIZE, CENTROMERES, LAYOUT, SIZES, pairs
+from pixelweave.plans.store import workspace
 from pixelweave.streaming import incremental
 
 
-def workspace(spark: SparkSession) -> str:
-    """A new folder that all executors share; a local one only where the master is local and none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(shared or tempfile.gettempdir()).rstrip('/')}/pixelweave-api/{uuid.uuid4().hex}"
-
-
 def pairs_text(spark: SparkSession, sf_dir: str, path: str, headed: bool = True, least: int = 1) -> str:
     """The fixture's pairs as text: a header, data lines, and lines that a reader must skip; or data lines alone.
 
@@ -130,7 +122,7 @@ def api_balance_files(spark, sf_dir) -> DataFrame:
 def ic_10_iterations_by_tiles(spark, sf_dir) -> DataFrame:
     import numpy as np
 
-    rows = pixels(spark, sf_dir).where("bin2_id - bin1_id >= 2")
+    rows = pixels_once(spark, sf_dir).where("bin2_id - bin1_id >= 2")
     good = balancing.masked(rows, counting.bin_table(spark, LAYOUT)).column("good").to_numpy()
     times, free = balancing.product(rows, LAYOUT.nbins, few=0)
     weight, said = balancing.correct(times, good, 0.0, 10)
@@ -184,7 +176,7 @@ def pixel_keys_decoded(spark, sf_dir) -> DataFrame:
 @query(f"{o.with_(o.PIXELS)} SELECT CAST(count(*) AS BIGINT) AS saturated, CAST(count(*) AS BIGINT) AS clamped FROM px WHERE 2 * CAST(count AS BIGINT) * 900000000 > {MOST}")
 def saturated_tally(spark, sf_dir) -> DataFrame:
     at = workspace(spark)
-    large = pixels(spark, sf_dir).withColumn("count", saturated(F.col("count").cast("long") * 900_000_000))
+    large = pixels_once(spark, sf_dir).withColumn("count", saturated(F.col("count").cast("long") * 900_000_000))
     x = m.ContactMatrix(spark, LAYOUT, ASSEMBLY, large)
     with m.warnings.catch_warnings():
         m.warnings.simplefilter("ignore")

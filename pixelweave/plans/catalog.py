@@ -16,6 +16,7 @@ from pixelweave.operators import pixels as counting
 from pixelweave.plans import oracle as o
 from pixelweave.plans.fixture import ASSEMBLY, BINSIZE, CENTROMERES, LAYOUT, SIZES, pairs
 from pixelweave.plans.matrix import ContactMatrix, numbered
+from pixelweave.plans.store import workspace
 from pixelweave.sources.pairs import binned
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,8 +48,15 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_pairs(binned(pairs(spark, sf_dir), LAYOUT))
 
 
+def pixels_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixels in files, for queries with several jobs or conditions on bins: pairs are binned and counted once."""
+    at = f"{workspace(spark)}/pixels"
+    pixels(spark, sf_dir).write.parquet(at)
+    return spark.read.parquet(at)
+
+
 def matrix(spark: SparkSession, sf_dir: str) -> ContactMatrix:
-    return ContactMatrix(spark, LAYOUT, ASSEMBLY, pixels(spark, sf_dir))
+    return ContactMatrix(spark, LAYOUT, ASSEMBLY, pixels_once(spark, sf_dir))
 
 
 def weights(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -179,7 +187,7 @@ def pixels_range(spark, sf_dir):
 
 @query(o.with_(o.PIXELS) + f" SELECT {KEY}, CAST(row_number() OVER (ORDER BY bin1_id, bin2_id) - 1 AS BIGINT) AS position FROM px")
 def pixels_numbered(spark, sf_dir):
-    return numbered(pixels(spark, sf_dir), ["bin1_id", "bin2_id"])
+    return numbered(pixels_once(spark, sf_dir), ["bin1_id", "bin2_id"])
 
 
 @query(o.with_(o.PIXELS) + " SELECT bin1_id, bin2_id, CAST(bin1_id * 267 + bin2_id AS BIGINT) AS key FROM px")
@@ -294,11 +302,8 @@ def expected_sums(spark, sf_dir):
 
 
 def table(spark, sf_dir, regions: list[Region] = ARMS) -> DataFrame:
-    rows = pixels(spark, sf_dir).persist()
-    try:
-        return curves.expected(rows, weights(spark, rows), LAYOUT, regions)
-    finally:
-        rows.unpersist()
+    rows = pixels_once(spark, sf_dir)
+    return curves.expected(rows, weights(spark, rows), LAYOUT, regions)
 
 
 @query(o.with_(o.EXPECTED) + " SELECT CAST(region_id AS INTEGER) AS region_id, dist, CAST(len - dist AS DOUBLE) AS n_total, CAST(n_valid AS DOUBLE) AS n_valid FROM curve")
@@ -337,7 +342,6 @@ def ooe_region(spark, sf_dir):
 
 @query(o.with_(o.chroms(), o.bins()) + ' SELECT bin_id, chrom, "start", "end", CAST(bin_id * 2 AS BIGINT) AS gc FROM bins')
 def repack_extra_bin_column(spark, sf_dir):
-    from pixelweave.plans.api_catalog import workspace
     from pixelweave.plans.matrix import repack
 
     folder = workspace(spark)

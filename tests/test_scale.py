@@ -58,3 +58,18 @@ def test_stream_is_fed_by_all_parts_of_the_scan(spark, many_files, monkeypatch):
     monkeypatch.setattr(api_catalog.incremental, "count_stream", start)
     assert of(api_catalog.stream_counts(spark, many_files)) == of(catalog.pixels(spark, SF))
     assert started[0] >= 6  # as many files as the scan has parts
+
+
+@pytest.mark.parametrize("name", ["ooe_region", "matrix_raw_cis", "pixels_range"])
+def test_pairs_are_counted_once(spark, monkeypatch, name):
+    asked, real = [], catalog.pairs
+
+    def pairs(spark, sf_dir):
+        asked.append(spark.sparkContext.accumulator(0))
+        seen = F.udf(lambda x, n=asked[-1]: n.add(1) or x, "long").asNondeterministic()
+        return real(spark, sf_dir).withColumn("pos1", seen("pos1"))
+
+    want = of(catalog.queries()[name](spark, SF), "*")
+    monkeypatch.setattr(catalog, "pairs", pairs)
+    assert of(catalog.queries()[name](spark, SF), "*") == want
+    assert [n.value for n in asked] == [6000]  # lines of lineitem, each of them binned once
