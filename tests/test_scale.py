@@ -60,7 +60,7 @@ def test_stream_is_fed_by_all_parts_of_the_scan(spark, many_files, monkeypatch):
     assert started[0] >= 6  # as many files as the scan has parts
 
 
-@pytest.mark.parametrize("name", ["ooe_region", "matrix_raw_cis", "pixels_range"])
+@pytest.mark.parametrize("name", ["ooe_region", "matrix_balanced", "expected_sums", "ic_10_iterations", "matrix_raw_cis", "pixels_range"])
 def test_pairs_are_counted_once(spark, monkeypatch, name):
     asked, real = [], catalog.pairs
 
