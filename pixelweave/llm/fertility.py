@@ -24,7 +24,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,6 +35,7 @@ PIECES = "piece_bpe_32k.model"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 WORDS_REMEMBERED = 300_000
 SYMBOLS = "#*$%&|<>"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURES = ("chars_per_token", "fragment_share", "fallback_share", "token_entropy")
 #: Bins per unit of a measure, quartile distances and slack that a measure may lie outside the quartiles; documents that
 #: a group's wider one counts for.
@@ -189,6 +190,22 @@ def measured(docs: DataFrame, bytes_path: str, pieces_path: str, ident: str, tex
     return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(tidy(run), schema)
 
 
+def failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+
+
+def ruled(docs: DataFrame, ident="doc_id", text="text") -> DataFrame:
+    """doc_id, the rules' counts and base_failed, for every row of docs: as judge gives them, without what only its bands need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            base = np.array([base_counts(t or "") for t in b.column(1).to_pylist()], np.int64).reshape(-1, len(COUNTS))
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in base.T]], names=["doc_id", *COUNTS])
+
+    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return written(rows.withColumn("base_failed", failed()), "fertility-base", rows=500)
+
+
 def bands(rows: DataFrame) -> DataFrame:
     """(group, script, lo, hi): arrays of bounds by measure, for each language (or script) and script of its documents."""
     bins = rows.select("group", "script", F.posexplode("x").alias("m", "v")).groupBy("group", "script", "m", F.floor(F.col("v") * STEPS).alias("bin")).agg(F.count("*").cast("double").alias("n"))
@@ -219,8 +236,7 @@ def bands(rows: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, bytes_path: str | None = None, pieces_path: str | None = None, ident="doc_id", text="text", lang="lang") -> DataFrame:
     """doc_id, the rules' counts, base_failed, kept, and the measures, for every row of docs."""
     rows = measured(docs, bytes_path or vocabulary_path(), pieces_path or vocabulary_path(PIECES), ident, text, lang)
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    rows = written(rows.withColumn("base_failed", failed), "fertility-measures", rows=500)
+    rows = written(rows.withColumn("base_failed", failed()), "fertility-measures", rows=500)
     limits = written(bands(rows.where("not base_failed")), "fertility-bands")
     inside = F.forall(F.arrays_zip("x", "lo", "hi"), lambda s: (s["x"] >= s["lo"]) & (s["x"] <= s["hi"]))
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))

@@ -1,7 +1,5 @@
 """Work that grows with the input is split into tasks that do not."""
 
-import json
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +71,17 @@ def test_pairs_are_counted_once(spark, monkeypatch, name):
     monkeypatch.setattr(catalog, "pairs", pairs)
     assert of(catalog.queries()[name](spark, SF), "*") == want
     assert [n.value for n in asked] == [6000]  # lines of lineitem, each of them binned once
+
+
+def test_rules_alone_ask_no_vocabulary(spark, monkeypatch):
+    from pixelweave.llm import fertility, queries
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select("doc_id", "text", "lang").unionAll(spark.createDataFrame([(-1, None, None), (-2, "", "x"), (-3, "a b c d e f g h " * 9 + "\n\n#\n#", "x")], "doc_id long, text string, lang string"))
+    want = of(fertility.judge(docs), ", ".join(("doc_id", *fertility.COUNTS, "base_failed")))
+    assert of(fertility.ruled(docs), "*") == want and len(want) == 63
+
+    def never(*_):
+        raise AssertionError("measures are not asked for")
+
+    monkeypatch.setattr(fertility, "measured", never)
+    assert queries.fertility_base(spark, SF).count() == 200
